@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import lines, secrets
+from cairn.llm import idfiles, lines, packing, secrets
 from cairn.llm.shared import documents
 
 
@@ -32,6 +32,20 @@ FROM m GROUP BY doc_id
 """
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.round_trip(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit() and callable(v)}
 
