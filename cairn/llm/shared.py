@@ -75,3 +75,34 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 
 def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_UPPER)
+
+
+def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast only while it has at most so many."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component): for the nodes of edges (a, b), the smallest node that links lead to.
+
+    Large stars and small stars in turn: each round joins nodes with the minimum of their neighbourhood, so paths halve
+    and hot nodes are only ever aggregated or joined, never gathered.  Each round's edges are written."""
+    own = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), name)
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    last = state(own)
+    while last[0]:
+        both = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        # and now the smaller neighbours of each node, with the node itself
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        own = written(small.filter("a > b").distinct(), name)
+        now = state(own)
+        if now == last:
+            break
+        last = now
+    return own.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(own.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
