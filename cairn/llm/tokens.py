@@ -56,13 +56,24 @@ class PieceEncoder:
         for p in seen & self.old.keys():
             self.young[p] = self.old.pop(p)
             seen.discard(p)
+        # a letter and a full stop or comma after it are never in one token: such pieces follow from their stems
+        ended = [p for p in seen if p[-1:] in (".", ",") and p[-2:-1].isascii() and p[-2:-1].isalpha()]
+        seen.difference_update(ended)
+        stems = {p[:-1] for p in ended}
+        stems.difference_update(self.young)
+        seen |= stems
+        for mark in (".", ","):
+            if mark not in self.young:
+                seen.add(mark)
         new = list(seen)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.young[p] = np.array(e.ids, "<u4").tobytes()
+        for p in ended:
+            self.young[p] = self.young[p[:-1]] + self.young[p[-1]]
         get = self.young.__getitem__
         for pieces in split:
             yield b"".join(map(get, pieces))
-        for p in new:
+        for p in (*new, *ended):
             if len(p) > self.longest:
                 del self.young[p]
 
