@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: White space of Python's and of the tokenizers' patterns, and characters that either may count as such.
@@ -29,7 +29,7 @@ class PieceEncoder:
     """ids of texts.  Two generations of pieces are remembered, of about ``limit`` each: when the young one is full it
     becomes the old one, and pieces found in the old one move to the young one."""
 
-    def __init__(self, path: str, limit: int = 200_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.limit, self.longest = path, limit, longest
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,7 +67,7 @@ class PieceEncoder:
                 seen.add(mark)
         new = list(seen)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.young[p] = np.array(e.ids, "<u4").tobytes()
+            self.young[p] = array("I", e.ids).tobytes()
         for p in ended:
             self.young[p] = self.young[p[:-1]] + self.young[p[-1]]
         get = self.young.__getitem__
