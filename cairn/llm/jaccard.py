@@ -5,9 +5,11 @@ A document's set holds the 64-bit hashes of its distinct k-word shingles.  Two d
 
 1. One pass makes each set's size and 128-bit digest; documents with equal sets are one node.  The same pass counts
    shingles into a fixed number of cells, which gives a global order: rare cells first.
-2. Linked sets share one of the first ``n - ceil(num/den n) + 1`` shingles of this order.  Postings of these prefixes are
-   dealt out by shingle; the nodes in a shingle's list whose sizes can link are put in a block named after its smallest
-   node, the pivot.  So every link joins two nodes of some block, and near copies, which share most lists, share a pivot.
+2. Linked sets share at least ``l`` of the first ``n - ceil(num/den n) + l`` shingles of this order, for every l; here l
+   grows with n.  Postings of these prefixes are dealt out by shingle; those without another node of a size that can link
+   go.  A node with fewer postings left than l allows can't link and goes too, which removes what shares by chance.
+   The nodes left in a shingle's list whose sizes can link are put in a block named after its smallest node, the pivot.
+   So every link joins two nodes of some block, and near copies, which share most lists, share a pivot.
 3. In a block each set becomes its difference from the pivot's set: what it lacks of it and what it adds.  With that, an
    overlap of T shingles is an overlap of ``T - |p| + |lacks x| + |lacks y|`` differences.  If that is at most 0, both
    link with the pivot itself.  Otherwise a search over the inverted lists of the differences finds the partners: the
@@ -91,8 +93,13 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(255, np.log2(x + np.float64(1)) * 8).astype(np.uint8).tobytes()])], names=["chunk", "cells"])
 
 
+def shared_least(n):
+    """How many shingles of their prefixes two linked sets share at least, both having n shingles or more."""
+    return 1 + n // 16
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+    return n - -(-num * n // den) + shared_least(n)
 
 
 def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -130,24 +137,40 @@ def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: i
         yield from flush()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(pivot, node) pairs of the lists with two nodes or more."""
-    got = [[np.frombuffer(x, t) for b in batches_ for x in b.column(i).to_pylist()] for batches_ in [list(batches)] for i, t in ((1, np.uint64), (2, np.int64), (3, np.int32))]
-    if not got[0]:
+def _shared(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(token, node, size) of the postings that another node of a size that can link has as well."""
+    token, node, size = [], [], []
+    for batch in batches:
+        for x, to, kind in ((1, token, np.uint64), (2, node, np.int64), (3, size, np.int32)):
+            to += [np.frombuffer(v, kind) for v in batch.column(x).to_pylist()]
+    if not token:
         return
-    token, node, size = (np.concatenate(x) for x in got)
+    token, node, size = np.concatenate(token), np.concatenate(node), np.concatenate(size).astype(np.int64)
     by = np.argsort(token, kind="stable")
+    again = np.diff(token[by]) == 0
+    by = by[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
+    by = by[np.lexsort((node[by], size[by], token[by]))]
     token, node, size = token[by], node[by], size[by]
-    again = np.diff(token) == 0
-    more = np.concatenate([again, [False]]) | np.concatenate([[False], again])
-    token, node, size = token[more], node[more], size[more]
+    near = (token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (den * size[:-1] >= num * size[1:])
+    keep = np.concatenate([near, [False]]) | np.concatenate([[False], near]) if len(token) else near
+    token, node, size = token[keep].view(np.int64), node[keep], size[keep]
+    for a in range(0, len(token), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (token, node, size)], names=["token", "node", "size"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(pivot, node) pairs of the lists with two nodes or more."""
+    got = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if not got:
+        return
+    token, node, size = (np.concatenate(x) for x in zip(*got))
     # sizes that can link lie in the same or in neighbouring bands; each node stands in its band and the next
     band = np.floor(np.log(size) / (math.log(den / num) + 1e-9)).astype(np.int64)
     token, node, band = np.tile(token, 2), np.tile(node, 2), np.concatenate([band, band + 1])
     by = np.lexsort((node, band, token))
     token, node, band = token[by], node[by], band[by]
-    new = np.concatenate([[True], (np.diff(token) != 0) | (np.diff(band) != 0)]) if len(token) else np.zeros(0, bool)
-    pivot = node[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(token) else node
+    new = np.concatenate([[True], (np.diff(token) != 0) | (np.diff(band) != 0)])
+    pivot = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
     keep = pivot != node
     pairs = np.unique(np.stack([pivot[keep], node[keep]], 1), axis=0)
     for a in range(0, len(pairs), 100_000):
@@ -222,6 +245,9 @@ def block_links(pivot: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, n
             continue
         least = max(1, int(needed[size_ok].min()))
         lo, hi = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]  # lists that hold others too
+        if len(lo) < least:
+            continue
         members, counts = divide_skip([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist())], least)
         for j in members[(counts >= needed[members]) & size_ok[members]].tolist():
             a, b = find(i), find(j)
@@ -280,7 +306,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, c
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = nodes.mapInArrow(lambda b: _postings(b, order, k, num, den, parts), "part long, token binary, node binary, size binary")
-    pairs = written(postings.repartition(parts, "part").mapInArrow(lambda b: _blocks(b, num, den), "pivot long, node long").distinct(), "jaccard-blocks")
+    shared = written(postings.repartition(parts, "part").mapInArrow(lambda b: _shared(b, num, den), "token long, node long, size long"), "jaccard-shared")
+    # a partner can be smaller, down to num/den of the size, and so share fewer
+    least = 1 + F.floor(F.ceil(F.lit(num) * F.max("size") / F.lit(den)) / 16)
+    linkable = written(shared.groupBy("node").agg(F.count("*").alias("n"), least.alias("least")).filter("n >= least").select("node"), "jaccard-linkable")
+    left = shared.join(sized(linkable), "node", "left_semi").select("token", "node", "size").repartition(parts, "token")
+    pairs = written(left.mapInArrow(lambda b: _blocks(b, num, den), "pivot long, node long").distinct(), "jaccard-blocks")
 
     # the pivot belongs to its block; blocks of more rows than a task should hold are cut into chunks, and all pairs of chunks are searched
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
