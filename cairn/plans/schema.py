@@ -25,7 +25,7 @@ def spark_type(kind: str) -> tuple[T.DataType, bool]:
     if kind == VERSIONSTAMP:
         return T.StructType([T.StructField("incarnation_version", T.LongType()), T.StructField("local_version", T.IntegerType(), False)]), False
     if kind.startswith("list_of_"):
-        return T.ArrayType(_SPARK[kind[8:]], containsNull=False), False
+        return T.ArrayType(_SPARK[kind[8:]]), False  # that no element is NULL is checked by value
     return _SPARK[kind.removeprefix("maybe_")], kind.startswith("maybe_")
 
 
