@@ -4,7 +4,7 @@ Both dictionaries begin with a dictionary that zstandard trains on windows of or
 holds the byte strings of toxic labelled text whose document frequency there is far above that in ordinary text, so the
 two differ in nothing but what tells the classes apart.  A window is one word in a fixed frame of frequent words: in a
 frame every window compresses to a proper block, and equal words have equal lengths, so a worker compresses each word
-once.  A document's features are the mean of (ordinary length - toxic length), its largest value, and shares and counts
+once.  A word that shares no ``MATCH`` bytes, the shortest match, with what only the toxic dictionary holds has distance 0.  A document's features are the mean of (ordinary length - toxic length), its largest value, and shares and counts
 of windows above the thresholds 1 to 4; a logistic regression on other labelled documents, weighted to the labels'
 true shares, calibrates them to a score.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cairn.llm.shared import rows_of, texts, written
 
 BEFORE, AFTER = b" the and of to in is it that ", b" der die und le la de que "
-LEVEL, CONTENT = 19, 32_768
+LEVEL, CONTENT, MATCH = 19, 32_768, 5
 MEMORY = 400_000
 FEATURES = 11
 
@@ -45,8 +45,8 @@ def _grams(word: bytes) -> set[bytes]:
     return {padded[i : i + k] for k in (5, 6, 7, 8) for i in range(len(padded) - k + 1)}
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], least_docs: int = 8, least_odds: float = 3.0) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionaries from the words of labelled documents."""
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], least_docs: int = 8, least_odds: float = 3.0) -> tuple[bytes, bytes, set[bytes]]:
+    """(ordinary, toxic) dictionaries from the words of labelled documents, and the strings of MATCH bytes only the latter has."""
     counts = []
     for docs in (toxic, ordinary):
         of: Counter[bytes] = Counter()
@@ -69,14 +69,16 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], le
     except zstandard.ZstdError:  # too few windows to train on: plain content
         base = b"".join(windows)[:CONTENT]
     frame = BEFORE + AFTER  # at the end, so that no telling string is among the last bytes, which aren't indexed
-    return base + frame, base + b"".join(g for g, _ in telling.most_common(2_000)[::-1]) + frame
+    added = [g for g, _ in telling.most_common(2_000)[::-1]]
+    return base + frame, base + b"".join(added) + frame, {g[i : i + MATCH] for g in added for i in range(len(g) - MATCH + 1)}
 
 
 class Distance:
     """(ordinary - toxic) compressed length of words in the frame; two generations of words are remembered."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, min_match=4, window_log=18)
+    def __init__(self, ordinary: bytes, toxic: bytes, added: set[bytes]):
+        self.added = added
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, min_match=MATCH, window_log=18)
         self.pack = []
         for data in (ordinary, toxic):
             known = zstandard.ZstdCompressionDict(data)
@@ -90,8 +92,10 @@ class Distance:
             self.old, self.young = self.young, {}
         for w in set(words).difference(self.young):
             if (d := self.old.pop(w, None)) is None:
-                window = BEFORE + w + AFTER
-                d = len(self.pack[0].compress(window)) - len(self.pack[1].compress(window))
+                d, padded = 0, b" " + w + b" "
+                if not self.added.isdisjoint([padded[i : i + MATCH] for i in range(len(padded) - MATCH + 1)]):
+                    window = BEFORE + w + AFTER
+                    d = len(self.pack[0].compress(window)) - len(self.pack[1].compress(window))
             self.young[w] = d
         out = np.fromiter(map(self.young.__getitem__, words), np.int64, len(words))
         for w in set(words):
@@ -124,8 +128,8 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """What a fit gives; it is sent to the workers as it is."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, mean: np.ndarray | None = None, scale: np.ndarray | None = None, w: np.ndarray | None = None):
-        self.ordinary, self.toxic, self.mean, self.scale, self.w = ordinary, toxic, mean, scale, w
+    def __init__(self, ordinary: bytes, toxic: bytes, added: set[bytes], mean: np.ndarray | None = None, scale: np.ndarray | None = None, w: np.ndarray | None = None):
+        self.ordinary, self.toxic, self.added, self.mean, self.scale, self.w = ordinary, toxic, added, mean, scale, w
 
     def scores(self, features: list[list[float]]) -> np.ndarray:
         if self.w is None:
@@ -139,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, train_d
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")) if learn is None else learn)
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
-        return Model(b"", b"")
+        return Model(b"", b"", set())
     part = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     chosen = part(1).unionByName(part(0)).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
     chosen = written(texts(docs).join(F.broadcast(chosen), "doc_id"), "toxicity-chosen")  # 2 train_docs rows
@@ -168,7 +172,7 @@ def _featured(rows: DataFrame, model: Model) -> DataFrame:
     """features of (toxic, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model.ordinary, model.toxic)
+        distance = Distance(model.ordinary, model.toxic, model.added)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([distance.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "features"])
 
@@ -179,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model.ordinary, model.toxic) if model.w is not None else None
+        distance = Distance(model.ordinary, model.toxic, model.added) if model.w is not None else None
         for batch in batches:
             for part in rows_of(batch):
                 features = [distance.features(t) if distance else [0.0] * FEATURES for t in part.column(1).to_pylist()]
