@@ -2,7 +2,7 @@
 
 Every maximal run of at least ``min_length`` characters of ``[A-Za-z0-9+/_-]`` gets an inferred encoding (hex, base32,
 lower alphanumeric, base64 or base64url) and three tests of the hypothesis that its symbols are drawn at random from
-that alphabet: chi-squared uniformity of the symbol counts, the number of runs above and below the middle of the
+that alphabet: chi-squared uniformity of the symbol counts and of their classes (letter cases, digits, signs), the number of runs above and below the middle of the
 alphabet, and the lag-1 serial correlation of the symbols.  The combined p-value of random strings is uniform, that of
 words and paths is near 0.  For each encoding and length band the share of random strings among all runs is read off the
 upper half of the p-values, and the smallest cut-off is taken at which the expected share of non-random runs among the
@@ -43,6 +43,13 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
+
+
+def _class(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+_CLASSES = {k: [sum(_class(c) == i for c in v) / len(v) for i in range(4)] for k, v in ALPHABETS.items()}
 BANDS = (24, 32, 40, 64, 128)
 BINS = 20
 
@@ -84,6 +91,12 @@ def battery(token: str, kind: str) -> float:
     for i in at:
         counts[i] = counts.get(i, 0) + 1
     p_chi = _upper_chi2(sum(c * c for c in counts.values()) * size / n - n, size - 1)
+    kinds = [0] * 4
+    for c in token:
+        kinds[_class(c)] += 1
+    shares = [(k, s) for k, s in zip(kinds, _CLASSES[kind]) if s]
+    if len(shares) > 1:
+        p_chi = min(1.0, 2 * min(p_chi, _upper_chi2(sum((k - n * s) ** 2 / (n * s) for k, s in shares), len(shares) - 1)))
     high = [2 * i >= size for i in at]
     a = sum(high)
     b = n - a
