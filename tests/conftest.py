@@ -3,6 +3,9 @@ import sys
 
 import pytest
 
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # as Spark sets it for its workers
+    os.environ.setdefault(name, "1")
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
