@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import components, rows_of, sized, texts, written
+from cairn.llm.shared import components, discard, rows_of, sized, texts, written
 
 CELLS_BITS, CELL_CHUNKS = 22, 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -328,6 +328,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, c
     block = members.join(sets, "node").select("pivot", "i", "j", "side", "node", "set").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "side", "node")
     edges = block.mapInArrow(lambda b: _search(b, num, den), "a long, b long")
     group = components(edges, "jaccard-links")
+    discard(copies, shared, linkable, pairs, large, members, wanted)
 
     named = classes.join(group, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     grouped = profile.join(named, ["d1", "d2"], "left")

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import rows_of, written
+from cairn.llm.shared import discard, rows_of, written
 
 _ENDS = b" \t\n\x0b\x0c\r"
 SHARD_WORDS = 1 << 17
@@ -185,12 +185,14 @@ def suspects(keys: DataFrame, twice: DataFrame, bits: int, broadcast_bytes: int)
 def repeated_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, keep) of the keys in at least min_docs documents, and (doc_id, h1, h2) of their occurrences and a few more."""
     keys = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _digests(b, min_chars), "doc_id long, keys binary"), "lines-keys")
-    keys = keys.filter(F.length("keys") > 0)
+    all_keys, keys = keys, keys.filter(F.length("keys") > 0)
     n = (keys.agg(F.sum(F.length("keys"))).first()[0] or 0) // 16
     twice, bits = twice_filter(keys, n)
     found = written(suspects(keys, twice, bits, broadcast_bytes), "lines-suspects")
     confirmed = found.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= min_docs).select("h1", "h2", "keep")
-    return written(confirmed, "lines-repeated"), found
+    confirmed = written(confirmed, "lines-repeated")
+    discard(all_keys, twice)
+    return confirmed, found
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcast_bytes: int = 64 << 20, digest: bool = False) -> DataFrame:
@@ -206,6 +208,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcas
         order = np.argsort(table["h1"].to_numpy().view(np.uint64), kind="stable")
         sent = spark.sparkContext.broadcast(tuple(table[c].to_numpy()[order] for c in ("h1", "h2", "keep")))
         rows = docs
+        discard(found, confirmed)
     else:
         drops = found.join(confirmed, ["h1", "h2"]).filter(F.col("doc_id") < F.col("keep")).groupBy(F.col("doc_id").alias("_ld_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("_ld_drops"))
         rows = docs.join(drops, docs["doc_id"] == drops["_ld_doc"], "left").drop("_ld_doc")

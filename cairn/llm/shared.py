@@ -46,7 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later result reads."""
+    for df in tables:
+        _delete(df.sparkSession, df._cairn_folder)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +108,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # and now the smaller neighbours of each node, with the node itself
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        own = written(small.filter("a > b").distinct(), name)
+        before, own = own, written(small.filter("a > b").distinct(), name)
+        discard(before)
         now = state(own)
         if now == last:
             break
