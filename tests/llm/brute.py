@@ -63,5 +63,10 @@ def groups(docs, k, num, den):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def grams(text, n):
+    w = (text or "").split()
+    return set(zip(*(w[i:] for i in range(n))))
+
+
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))

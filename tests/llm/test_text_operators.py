@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import groups, lines, secrets
+from brute import grams, groups, lines, secrets
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, jaccard, language, secrets as scan, toxicity
@@ -170,9 +170,8 @@ def test_decontamination_needs_no_python(spark, data):
     found = decontaminate.contaminated(docs, bench)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
-    grams = lambda t: {tuple(t.split()[i : i + 8]) for i in range(len(t.split()) - 7)}
-    items = [(r["item_id"], grams(r["text"])) for r in bench.collect()]
-    want = {(r["doc_id"], i) for r in docs.collect() for i, g in items if g & grams(r["text"])}
+    items = [(r["item_id"], grams(r["text"], 8)) for r in bench.collect()]
+    want = {(d, i) for d, own in ((r["doc_id"], grams(r["text"], 8)) for r in docs.collect()) for i, g in items if g & own}
     assert want and {(r["doc_id"], r["item_id"]) for r in found.collect()} >= want
 
 
