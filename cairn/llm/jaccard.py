@@ -130,7 +130,7 @@ def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: i
                 nodes.append(np.full(len(first), doc_id, np.int64))
                 sizes.append(np.full(len(first), len(s), np.int32))
                 held += len(first)
-            if held >= 1 << 20:
+            if held >= 1 << 18:
                 yield from flush()
                 tokens, nodes, sizes, held = [], [], [], 0
     if held:
@@ -267,13 +267,13 @@ def _search(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         return [(key[0] if a < 0 else own[a][1], own[b][1]) for a, b in found]
 
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for pivot, i, j, side, node, packed in zip(*columns):
-            if (pivot, i, j) != key:
-                if rows:
-                    out += links()
-                key, rows = (pivot, i, j), []
-            rows.append((side, node, np.frombuffer(packed, np.uint64)))
+        for part in rows_of(batch, 256):
+            for pivot, i, j, side, node, packed in zip(*(c.to_pylist() for c in part.columns)):
+                if (pivot, i, j) != key:
+                    if rows:
+                        out += links()
+                    key, rows = (pivot, i, j), []
+                rows.append((side, node, np.frombuffer(packed, np.uint64)))
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
             out = []

@@ -25,11 +25,14 @@ _ODD = ["  ", "\n\n", " \n", "\n ", "\0", *map(chr, (*range(9, 10), *range(11, 1
 _ODD_WIDE = list(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
+_MARKS = ".,!?;:"
+
+
 class PieceEncoder:
     """ids of texts.  Two generations of pieces are remembered, of about ``limit`` each: when the young one is full it
     becomes the old one, and pieces found in the old one move to the young one."""
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 250_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.limit, self.longest = path, limit, longest
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,8 +41,8 @@ class PieceEncoder:
         self.old: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
-        if not self.byte_level:
-            return text.replace("\n", " ").split(" ")
+        if not self.byte_level:  # the normalizer lower-cases
+            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
         if any(x in text for x in _ODD) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or not text.isascii() and any(x in text for x in _ODD_WIDE):
             return _CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
@@ -56,24 +59,24 @@ class PieceEncoder:
         for p in seen & self.old.keys():
             self.young[p] = self.old.pop(p)
             seen.discard(p)
-        # a letter and a full stop or comma after it are never in one token: such pieces follow from their stems
-        ended = [p for p in seen if p[-1:] in (".", ",") and p[-2:-1].isascii() and p[-2:-1].isalpha()]
-        seen.difference_update(ended)
-        stems = {p[:-1] for p in ended}
-        stems.difference_update(self.young)
-        seen |= stems
-        for mark in (".", ","):
-            if mark not in self.young:
-                seen.add(mark)
+        # a letter and the marks after it are never in one token: such pieces follow from their stems
+        ended = [(p, stem) for p in seen if p[-1:] in _MARKS and (stem := p.rstrip(_MARKS)) and stem[-1] < "\u0100" and stem[-1].isalpha()]
+        seen.difference_update(p for p, _ in ended)
+        more = {stem for _, stem in ended} | {p[len(stem) :] for p, stem in ended}
+        more.difference_update(self.young)
+        for p in more & self.old.keys():
+            self.young[p] = self.old.pop(p)
+            more.discard(p)
+        seen |= more
         new = list(seen)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.young[p] = array("I", e.ids).tobytes()
-        for p in ended:
-            self.young[p] = self.young[p[:-1]] + self.young[p[-1]]
+        for p, stem in ended:
+            self.young[p] = self.young[stem] + self.young[p[len(stem) :]]
         get = self.young.__getitem__
         for pieces in split:
             yield b"".join(map(get, pieces))
-        for p in (*new, *ended):
+        for p in (*new, *(p for p, _ in ended)):
             if len(p) > self.longest:
                 del self.young[p]
 

@@ -32,7 +32,7 @@ from cairn.llm.shared import rows_of, texts, written
 
 BEFORE, AFTER = b" the and of to in is it that ", b" der die und le la de que "
 LEVEL, CONTENT, MATCH = 19, 32_768, 5
-MEMORY = 400_000
+MEMORY = 60_000
 FEATURES = 11
 
 
