@@ -10,9 +10,10 @@ from dataclasses import dataclass, field
 
 from cairn.plans.errors import CairnError
 
-#: Kinds of fields.  Fixed values.
+#: Kinds of fields, and the prefix that field names may not have.  Fixed values.
 SIGNED = ("double", "float", "int32", "int64", "sint32", "sint64", "sfixed32", "sfixed64", "bool", "string", "bytes")
 UNSIGNED = ("uint32", "uint64", "fixed32", "fixed64")
+RESERVED_PREFIX = "fdb_"
 UUID = "cairn.v1.UUID"
 WELL_KNOWN = frozenset({UUID})
 
@@ -101,7 +102,7 @@ def why_not_well_formed(defs: Definitions, name: str) -> str | None:
                 return where + "groups aren't supported"
             if f.default is not None:
                 return where + "defaults aren't supported"
-            if f.name.startswith("fdb_"):
+            if f.name.startswith(RESERVED_PREFIX):
                 return where + "the name is reserved"
             if f.cardinality == PLAIN:
                 return where + "a single field has to be optional or in a oneof"

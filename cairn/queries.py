@@ -418,7 +418,7 @@ WELL_FORMED: list[tuple[str, bool, list]] = [
     ("fixed unsigned in map", False, [_message(_field(1, "a", "fixed64", D.MAP))]),
     ("no presence", False, [_message(_field(1, "a", "string", D.PLAIN))]),
     ("integer map key", False, [_message(_field(1, "a", "string", D.MAP, map_key="int32"))]),
-    ("reserved name", False, [_message(_field(1, "fdb_a"))]),
+    ("reserved name", False, [_message(_field(1, f"{D.RESERVED_PREFIX}a"))]),
     ("map entry", False, [_message(_field(1, "a"), map_entry=True)]),
     ("well-known type", False, [_message(_field(1, "a", "bytes"), name=D.UUID)]),
     ("nested unsigned", False, [_message(_field(1, "a", "message:cairn.In")), _message(_field(1, "b", "uint64"), name="cairn.In")]),
