@@ -173,6 +173,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     part = f"{name}.body-{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         body(out)
+    encoder(path).rest()
     if not doc_ids:
         fs.delete_file(part)
         return

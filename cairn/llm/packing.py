@@ -50,6 +50,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_i
                     seen[n] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+    encoder(path).rest()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

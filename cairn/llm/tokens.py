@@ -81,6 +81,12 @@ class PieceEncoder:
                 del self.young[p]
 
 
+    def rest(self) -> None:
+        """After a task: what is remembered until the next one is about one generation."""
+        if len(self.young) > self.limit // 2:
+            self.old = {}
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
