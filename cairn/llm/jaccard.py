@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import components, discard, rows_of, sized, texts, written
+from cairn.llm.shared import components, discard, rows_of, sized, texts, trim, written
 
 CELLS_BITS, CELL_CHUNKS = 22, 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -135,6 +135,8 @@ def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: i
                 tokens, nodes, sizes, held = [], [], [], 0
     if held:
         yield from flush()
+    del tokens, nodes, sizes
+    trim()
 
 
 def _shared(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -72,6 +73,13 @@ def rows_of(batch: pa.RecordBatch, size: int = 1024):
         yield batch.slice(at, size)
 
 
+def trim() -> None:
+    """Gives memory that a finished task no longer needs back to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def words_split(text: str) -> list[str]:
     """Words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z only."""
     return [w for w in ascii_lower(text).translate(_SPACES).split(" ") if w]

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import rows_of, texts, written
+from cairn.llm.shared import rows_of, texts, trim, written
 
 BEFORE, AFTER = b" the and of to in is it that ", b" der die und le la de que "
 LEVEL, CONTENT, MATCH = 19, 32_768, 5
@@ -188,5 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in rows_of(batch):
                 features = [distance.features(t) if distance else [0.0] * FEATURES for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(features))], names=["doc_id", "score"])
+        del distance
+        trim()
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
