@@ -6,8 +6,9 @@ with other values has the same template.  Every window of ``width`` template tok
 if it is shorter) with at least ``least_literals`` words is a key.  Document windows are not all hashed: each benchmark
 window has an anchor, its longest word, and only windows of a document around an anchor word are formed and hash-joined.
 
-Windows of one document and item at the same shift form a run.  Its slots must be consistent: each benchmark value always
-stands for one value of the document and the other way round.  Then the document counts as contaminated by the item.
+Windows of one document and item at the same shift form a run.  It is cut into its maximal sub-runs with consistent slots:
+each benchmark value always stands for one value of the document, while two of them may stand for the same.  A document
+with such a sub-run, of one window at least, counts as contaminated by the item.
 
 Everything that grows with the corpus stays in rows of one document; the benchmark's tables are broadcast while they have
 at most ``sized()`` rows and shuffled beyond.
@@ -60,21 +61,36 @@ def benchmark_windows(benchmark: DataFrame, width: int, least_literals: int) ->
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_literals: int = 4) -> DataFrame:
-    """doc_id, item_id, n_windows, n_tokens (the longest run), exact (some run has the item's own values)."""
+    """doc_id, item_id, n_windows, n_tokens (the longest sub-run), exact (some sub-run has the item's own values)."""
     keys = benchmark_windows(benchmark, width, least_literals)
     anchors = written(keys.groupBy("anchor").agg(F.collect_set(F.struct("off", "w")).alias("offs")), "decontaminate-anchors")
     # outer, so that no filter on the tokens' number makes them twice; null words meet no anchor
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("words"))
-    words = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "word"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text").cast("string")).alias("words"))
+    words = words.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("pos", "word"))
     first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
-    near = words.join(sized(anchors), F.lower("word") == F.col("anchor")).select("doc_id", "pos", "offs", F.size("words").alias("n"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * width - 1)).alias("around"))
+    near = words.join(sized(anchors), F.lower("word") == F.col("anchor")).select("doc_id", "text_hash", "pos", "offs", F.size("words").alias("n"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * width - 1)).alias("around"))
     formed = near.withColumn("o", F.explode("offs")).withColumn("start", F.col("pos") - F.col("o.off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("o.w") <= F.col("n")))
-    formed = formed.select("doc_id", "start", F.slice("around", F.col("start") - F.col("first") + 1, F.col("o.w")).alias("own"))
+    formed = formed.select("doc_id", "text_hash", "start", F.slice("around", F.col("start") - F.col("first") + 1, F.col("o.w")).alias("own"))
     formed = formed.withColumn("key", F.array_join(F.transform("own", template), " "))
     met = formed.join(sized(keys), "key")
-    value = F.transform(F.filter(F.arrays_zip("raw", "own"), lambda x: ~_literal(template(x["raw"]))), lambda x: F.struct(template(x["raw"]).alias("kind"), F.lower(x["raw"]).alias("theirs"), F.lower(x["own"]).alias("own")))
-    runs = met.groupBy("doc_id", "item_id", (F.col("start") - F.col("at")).alias("shift")).agg(F.count_distinct("at").alias("n_windows"), (F.max(F.col("at") + F.col("w")) - F.min("at")).alias("n_tokens"), F.array_distinct(F.flatten(F.collect_set(value))).alias("pairs"))
-    theirs = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["theirs"]))))
-    own = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["own"]))))
-    runs = runs.filter((theirs == F.size("pairs")) & (own == F.size("pairs")))
-    return runs.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.max(F.forall("pairs", lambda x: x["theirs"] == x["own"])).alias("exact"))
+    value = F.filter(F.transform(F.arrays_zip("raw", "own"), lambda x, i: F.struct((F.col("at") + i).alias("p"), template(x["raw"]).alias("kind"), F.lower(x["raw"]).alias("theirs"), F.lower(x["own"]).alias("own"))), lambda x: ~_literal(x["kind"]))
+    runs = met.groupBy("doc_id", "text_hash", "item_id", (F.col("start") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"), F.max("w").alias("w"), F.array_distinct(F.flatten(F.collect_set(value))).alias("slots"))
+    return consistent(runs).groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max(F.col("last") + F.col("w") - F.col("first")).alias("n_tokens"), F.max("exact").alias("exact"))
+
+
+def consistent(runs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, w, first, last, n, exact) of the maximal sub-runs in which a benchmark value has one value of the document."""
+    distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[k] for k in names]))))
+    # a slot's latest earlier one with the same benchmark value and another value here: no sub-run covers both
+    clash = F.transform("slots", lambda x: F.struct(x["p"].alias("p"), F.array_max(F.transform(F.filter("slots", lambda y: (y["p"] < x["p"]) & (y["kind"] == x["kind"]) & (y["theirs"] == x["theirs"]) & (y["own"] != x["own"])), lambda y: y["p"])).alias("q")))
+    runs = runs.withColumn("clashes", F.when(distinct("kind", "theirs") == distinct("kind", "theirs", "own"), F.lit(None)).otherwise(F.filter(clash, lambda x: x["q"].isNotNull())))
+    behind = lambda a: F.coalesce(F.array_max(F.transform(F.filter("clashes", lambda x: x["p"] < a + F.col("w")), lambda x: x["q"])), F.lit(-1))
+    ends = runs.withColumn("ends", F.when(F.col("clashes").isNotNull(), F.transform("ats", lambda a: F.struct(a.alias("last"), behind(a).alias("q")))))
+    within = F.transform("ends", lambda e: F.struct(e["last"].alias("last"), F.filter("ats", lambda a: (a > e["q"]) & (a <= e["last"])).alias("of")))
+    subs = ends.withColumn("subs", F.transform(within, lambda e: F.struct(F.array_min(e["of"]).alias("first"), e["last"].alias("last"), F.size(e["of"]).alias("n"))))
+    longer = lambda i: F.get("subs", i + 1)["first"]
+    maximal = F.filter("subs", lambda x, i: x["first"].isNotNull() & ~x["first"].eqNullSafe(longer(i)))
+    whole = F.array(F.struct(F.array_min("ats").alias("first"), F.array_max("ats").alias("last"), F.size("ats").alias("n")))
+    found = subs.withColumn("sub", F.explode(F.when(F.col("clashes").isNull(), whole).otherwise(maximal)))
+    own = F.forall("slots", lambda x: (x["p"] < F.col("sub.first")) | (x["p"] >= F.col("sub.last") + F.col("w")) | (x["theirs"] == x["own"]))
+    return found.select("doc_id", "item_id", "w", "sub.*", own.alias("exact"))

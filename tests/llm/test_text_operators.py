@@ -175,6 +175,41 @@ def test_decontamination_needs_no_python(spark, data):
     assert want and {(r["doc_id"], r["item_id"]) for r in found.collect()} >= want
 
 
+def leaks(spark, bench, docs):
+    """(doc_id, item_id) to the result row, of texts numbered from 1."""
+    tables = [spark.createDataFrame(list(enumerate(t, 1)), schema) for t, schema in ((docs, SCHEMA), (bench, "item_id long, text string"))]
+    return {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(*tables).collect()}
+
+
+def test_decontamination_of_edited_copies(spark):
+    long = "Then we walk over the old bridge to the far side. " * 3 + ITEM + ". Then we sleep until the sun comes up again."
+    edited = long[::-1].replace("nehT", "woN", 1)[::-1]  # one recurring sentence start
+    same = ITEM.replace("Alice", "Carol").replace("Bob", "Carol")  # two slots with one value
+    at = long.index("Alice")
+    got = leaks(spark, [long, ITEM], [long, edited, same, edited[at:], "Alice has 12 apples and gives Bob 30 apples while Carol"])
+    assert got[1, 1]["exact"] and got[2, 1]["exact"] and got[2, 1]["n_tokens"] < got[1, 1]["n_tokens"]
+    assert (3, 2) in got and got[3, 2]["n_tokens"] == len(ITEM.split()) and not got[3, 2]["exact"]
+    assert (4, 1) in got and not any(d == 5 for d, _ in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decontamination_sub_runs(spark, seed):
+    rng = random.Random(seed)
+    runs = []
+    for doc in range(60):
+        w, ats = 4, sorted(rng.sample(range(30), rng.randrange(1, 20)))
+        slots = {p: (rng.choice(["<NUM>", "<NAME>"]), rng.choice("abc"), rng.choice("aaab")) for p in {a + rng.randrange(w) for a in ats for _ in range(2)}}
+        runs.append((doc, 1, ats, w, [(p, *x) for p, x in slots.items()]))
+    want = set()
+    for doc, _, ats, w, slots in runs:
+        covered = {(i, j): [s for s in slots if any(a <= s[0] < a + w for a in ats[i : j + 1])] for i in range(len(ats)) for j in range(i, len(ats))}
+        fine = [k for k, own in covered.items() if len({s[1:3] for s in own}) == len({s[1:] for s in own})]
+        want |= {(doc, ats[i], ats[j], j - i + 1, all(s[2] == s[3] for s in covered[i, j])) for i, j in fine if not any((x, y) != (i, j) and x <= i and j <= y for x, y in fine)}
+    df = spark.createDataFrame(runs, "doc_id long, item_id long, ats array<int>, w int, slots array<struct<p:int,kind:string,theirs:string,own:string>>")
+    got = decontaminate.consistent(df).select("doc_id", "first", "last", "n", "exact").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 # --- toxicity and language ---
 
 
