@@ -6,7 +6,8 @@ that alphabet: chi-squared uniformity of the symbol counts and of their classes
 alphabet, and the lag-1 serial correlation of the symbols.  The combined p-value of random strings is uniform, that of
 words and paths is near 0.  For each encoding and length band the share of random strings among all runs is read off the
 upper half of the p-values, and the smallest cut-off is taken at which the expected share of non-random runs among the
-reported ones stays below ``fdr``.
+reported ones stays below ``fdr``.  Fewer than ``FEW`` runs are too few to estimate from: a cell of fewer has the cut-off
+``least_p``, one with fewer above its lowest bin of p-values at most the end of that bin, so a lone secret stays.
 
 The histogram behind the cut-offs has at most 5 x 6 x 20 cells whatever the input; everything else is one pass over the texts.
 
@@ -52,6 +53,7 @@ def _class(c: str) -> int:
 _CLASSES = {k: [sum(_class(c) == i for c in v) / len(v) for i in range(4)] for k, v in ALPHABETS.items()}
 BANDS = (24, 32, 40, 64, 128)
 BINS = 20
+FEW = 20
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,k:int,e:int,g:string,p:double>>"
 
@@ -139,17 +141,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_offs(cells: list[tuple[str, int, int]], fdr: float, least_p: float) -> dict[str, float]:
     """Per group the smallest p above which at most a share fdr of the runs is expected not to be random.
 
-    cells: (group, bin of p, count).  Random strings fill the bins evenly, so twice the upper half estimates their number.
+    cells: (group, bin of p, count).  Random strings fill the bins evenly, so twice the upper half estimates their number; one
+    more in it (Storey's estimator) keeps the estimate above 0.  The lowest two cut-offs also hold if fewer than FEW runs are above.
     """
     groups: dict[str, list[int]] = {}
     for g, b, n in cells:
         groups.setdefault(g, [0] * BINS)[min(b, BINS - 1)] += n
     out = {}
     for g, bins in groups.items():
-        random = 2 * sum(bins[BINS // 2 :])
+        random = 2 * (sum(bins[BINS // 2 :]) + 1)
         for b in range(BINS):
             over = sum(bins[b:])
-            if not over or 1 - random * (1 - b / BINS) / over <= fdr:
+            if not over or (b < 2 and over < FEW) or 1 - random * (1 - b / BINS) / over <= fdr:
                 break
         out[g] = max(least_p, b / BINS)
     return out

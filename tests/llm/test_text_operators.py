@@ -62,6 +62,17 @@ def test_secret_scan_adds_random_strings(spark):
     assert scan.digest(scan.secret_scan(docs.limit(0))).count() == 0
 
 
+def test_few_secrets_of_a_cell_stay(spark):
+    assert [scan.cut_offs([("g", b, 1)], 0.1, 0.01)["g"] for b in (0, 5, 9, 15)] == [0.01] * 4
+    assert scan.cut_offs([("g", 0, 500), ("g", 3, 1), ("g", 6, 1), ("g", 9, 1)], 0.1, 0.01)["g"] == pytest.approx(0.05)
+    assert scan.cut_offs([("g", b, 100) for b in range(5)], 0.1, 0.01)["g"] >= 0.25  # enough to see that they aren't random
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice(scan.ALPHABETS["base64"]) for _ in range(44)) for _ in range(60)]
+    lone = next(t for t in tokens if 0.1 < scan.battery(t, "base64") < 0.45)
+    found = scan.digest(scan.secret_scan(spark.createDataFrame([(1, f"see {lone} here")], SCHEMA))).first()["spans"]
+    assert found == "random:4:48"
+
+
 # --- line dedup ---
 
 LINES = [
