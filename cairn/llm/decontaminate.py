@@ -3,7 +3,8 @@
 Tokens are words, numbers and currency or degree signs.  Their templates put <NUM> for numbers, <UNIT> for units of
 measure, <NAME> for words of a capital and small letters, and the lower-cased word otherwise, so a question asked again
 with other values has the same template.  Every window of ``width`` template tokens of a benchmark item (the whole item,
-if it is shorter) with at least ``least_literals`` words is a key.  Document windows are not all hashed: each benchmark
+if it is shorter) with at least ``least_literals`` words is a key.  So is its folded template, in which names are lower-cased
+words as well, so copies in other letter case share it.  Document windows are not all hashed: each benchmark
 window has an anchor, its longest word, and only windows of a document around an anchor word are formed and hash-joined.
 
 Windows of one document and item at the same shift form a run.  It is cut into its maximal sub-runs with consistent slots:
@@ -48,16 +49,24 @@ def _literal(t: Column) -> Column:
     return ~t.isin("<NUM>", "<UNIT>", "<NAME>")
 
 
+def _folded(raw: str, t: str) -> Column:
+    """The template without names: they are lower-cased words, whatever their case."""
+    return F.zip_with(raw, t, lambda word, x: F.when(x == "<NAME>", F.lower(word)).otherwise(x))
+
+
 def benchmark_windows(benchmark: DataFrame, width: int, least_literals: int) -> DataFrame:
     """(item_id, at, key, raw, anchor, off, w): the windows of each item; written."""
     items = benchmark.select("item_id", tokens(F.col("text").cast("string")).alias("raw")).filter(F.size("raw") > 0)
     items = items.withColumn("t", F.transform("raw", template)).withColumn("w", F.least(F.lit(width), F.size("raw")))
     windows = items.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("w"))))
     windows = windows.select("item_id", "at", "w", F.slice("raw", F.col("at") + 1, F.col("w")).alias("raw"), F.slice("t", F.col("at") + 1, F.col("w")).alias("t"))
-    windows = windows.filter(F.size(F.filter("t", _literal)) >= least_literals)
+    enough = lambda t: F.size(F.filter(t, _literal)) >= least_literals
+    windows = windows.withColumn("f", _folded("raw", "t")).filter(enough("f"))  # names are words of it, so enough in t is enough in f
+    windows = windows.withColumn("keys", F.array_distinct(F.when(enough("t"), F.array("t", "f")).otherwise(F.array("f")))).withColumn("t", F.col("keys")[0])
     best = F.array_max(F.transform("t", lambda x, i: F.struct(F.when(_literal(x), F.length(x)).otherwise(0).alias("n"), (-i).alias("i"))))
     windows = windows.withColumn("off", -best["i"]).withColumn("anchor", F.element_at("t", F.col("off") + 1))
-    return written(windows.select("item_id", "at", F.array_join("t", " ").alias("key"), "raw", "anchor", "off", "w"), "decontaminate-windows")
+    windows = windows.withColumn("key", F.explode("keys"))
+    return written(windows.select("item_id", "at", F.array_join("key", " ").alias("key"), "raw", "anchor", "off", "w"), "decontaminate-windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_literals: int = 4) -> DataFrame:
@@ -71,7 +80,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_li
     near = words.join(sized(anchors), F.lower("word") == F.col("anchor")).select("doc_id", "text_hash", "pos", "offs", F.size("words").alias("n"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * width - 1)).alias("around"))
     formed = near.withColumn("o", F.explode("offs")).withColumn("start", F.col("pos") - F.col("o.off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("o.w") <= F.col("n")))
     formed = formed.select("doc_id", "text_hash", "start", F.slice("around", F.col("start") - F.col("first") + 1, F.col("o.w")).alias("own"))
-    formed = formed.withColumn("key", F.array_join(F.transform("own", template), " "))
+    formed = formed.withColumn("t", F.transform("own", template))
+    both = F.when(F.array_contains("t", "<NAME>"), F.array(F.col("t"), _folded("own", "t"))).otherwise(F.array("t"))
+    formed = formed.select("doc_id", "text_hash", "start", "own", F.explode(both).alias("key")).withColumn("key", F.array_join("key", " "))
     met = formed.join(sized(keys), "key")
     value = F.filter(F.transform(F.arrays_zip("raw", "own"), lambda x, i: F.struct((F.col("at") + i).alias("p"), template(x["raw"]).alias("kind"), F.lower(x["raw"]).alias("theirs"), F.lower(x["own"]).alias("own"))), lambda x: ~_literal(x["kind"]))
     runs = met.groupBy("doc_id", "text_hash", "item_id", (F.col("start") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"), F.max("w").alias("w"), F.array_distinct(F.flatten(F.collect_set(value))).alias("slots"))

@@ -221,6 +221,16 @@ def test_decontamination_sub_runs(spark, seed):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_decontamination_in_other_letter_case(spark):
+    bench = ["Did Anna meet Bob in the big Rome", ITEM]
+    docs = [f(t) for t in bench for f in (str.lower, str.upper, str.title, str)] + ["Did Carla meet Dan in the big Berlin", ITEM.upper().replace("12", "30")]
+    got = leaks(spark, bench, docs)
+    assert set(got) == {(d, 1) for d in (1, 2, 3, 4, 9)} | {(d, 2) for d in (5, 6, 7, 8, 10)}
+    assert all(r["exact"] == (d < 9) for (d, _), r in got.items())
+    names = leaks(spark, ["Anna Bob Carl Dora meet Emil Fritz Gina"], ["anna BOB Carl dora Meet Emil Fritz Gina", "Anna Bob Carl Dora meet Emil Fritz Hugo"])
+    assert set(names) == {(1, 1)}
+
+
 # --- toxicity and language ---
 
 
