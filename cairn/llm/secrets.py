@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
 Every maximal run of at least ``min_length`` characters of ``[A-Za-z0-9+/_-]`` gets an inferred encoding (hex, base32,
-lower alphanumeric, base64 or base64url) and three tests of the hypothesis that its symbols are drawn at random from
+lower alphanumeric, base64 or base64url); one that fits no alphabet, since it has signs of base64 and of base64url, is
+split at the signs of the one and of the other, and of the parts of at least ``min_length`` characters those of the highest
+p-values that don't overlap are runs.  Each run gets three tests of the hypothesis that its symbols are drawn at random from
 that alphabet: chi-squared uniformity of the symbol counts and of their classes (letter cases, digits, signs), the number of runs above and below the middle of the
 alphabet, and the lag-1 serial correlation of the symbols.  The combined p-value of random strings is uniform, that of
 words and paths is near 0.  For each encoding and length band the share of random strings among all runs is read off the
@@ -32,6 +34,7 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # greedy runs: the same matches as [0-9a-f]+ of 16 and more
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+PARTS = (re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"))
 KINDS = ("assign", "access", "hex", "random")
 
 #: Alphabets in the order in which they are tried; the first that holds all characters is the inferred encoding.
@@ -85,6 +88,19 @@ def encoding(token: str) -> str | None:
     return next((k for k, v in _INDEX.items() if has <= v.keys()), None)
 
 
+def runs_of(token: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
+    """(start, end, encoding, p) of the token itself, or of its parts if no alphabet holds it, outside the spans taken."""
+    whole = encoding(token)
+    parts = {(0, len(token)): token} if whole else {m.span(): m[0] for p in PARTS for m in p.finditer(token)}
+    free = [(s, e, t) for (s, e), t in parts.items() if not any(x < e and s < y for x, y in taken)]
+    tested = sorted((-battery(t, k), s, e, k) for s, e, t in free if (k := whole or encoding(t)))
+    out: list[tuple[int, int, str, float]] = []
+    for p, s, e, k in tested:
+        if not any(x < e and s < y for x, y, _, _ in out):
+            out.append((s, e, k, -p))
+    return sorted(out)
+
+
 def battery(token: str, kind: str) -> float:
     """Combined p-value of the three tests under 'symbols are drawn at random from this encoding's alphabet'."""
     index, n = _INDEX[kind], len(token)
@@ -129,10 +145,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
                 found = []
                 for m in TOKEN.finditer(text):
-                    s, e = m.span()
-                    kind = encoding(m[0])
-                    if kind and not any(x < e and s < y for x, _, y in base):
-                        found.append({"s": s, "k": 3, "e": e, "g": f"{kind}/{sum(e - s >= x for x in BANDS)}", "p": battery(m[0], kind)})
+                    for s, e, kind, p in runs_of(m[0], [(x - m.start(), y - m.start()) for x, _, y in base]):
+                        found.append({"s": m.start() + s, "k": 3, "e": m.start() + e, "g": f"{kind}/{sum(e - s >= x for x in BANDS)}", "p": p})
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 out.append((doc_id, *n, hashlib.sha256(joined.encode()).hexdigest(), [{"s": s, "k": k, "e": e} for s, k, e in base], found))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)

@@ -73,6 +73,18 @@ def test_few_secrets_of_a_cell_stay(spark):
     assert found == "random:4:48"
 
 
+def test_secrets_beside_other_signs_are_examined(spark):
+    rng = random.Random(6)
+    key = lambda k, n: "".join(rng.choice(scan.ALPHABETS[k]) for _ in range(n))
+    strong = lambda k, n: next(t for t in iter(lambda: key(k, n), None) if scan.battery(t, k) > 0.3 and t[0].isalnum() and scan.encoding(t) == k)
+    b64, url, plain = strong("base64", 40), strong("base64url", 40), strong("base36", 40)
+    texts = [f"my-bucket/{plain}", f"key-{b64}", f"user_files/{plain}", f"some/path/{url}", "my-long_path/with-many_parts/and-no_secret/in-any_of/them", f"key-{b64[:12]}"]
+    found = {r["doc_id"]: r["spans"] for r in scan.digest(scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA))).collect()}
+    want = {0: (10, 50), 1: (4, 44), 2: (11, 51), 3: (10, 50)}
+    assert found == {i: "random:{}:{}".format(*want[i]) if i in want else "" for i in range(6)}
+    assert all(e <= 10 or s >= 14 for s, e, _, _ in scan.runs_of(f"a-b/{b64}", [(10, 14)]))
+
+
 # --- line dedup ---
 
 LINES = [
