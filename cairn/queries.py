@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 CHUNK = 4096
+MOST = -(-S.MAX_BYTES // CHUNK)  # small chunks don't make the largest record smaller
 
 
 def query(sql: str | None = None):
@@ -232,7 +233,7 @@ _BODY = "SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = version(F.lit(None), F.unhex(F.lpad(F.hex("doc_id"), 20, "0")), F.lit(0))
-    return S.split(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", v, CHUNK)
+    return S.split(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", v, CHUNK, S.MAX_BYTES)
 
 
 def _whole(df: DataFrame) -> DataFrame:
@@ -255,23 +256,23 @@ def record_header(spark, sf_dir):
 
 @query(f"{_WHOLE} FROM ({_BODY}) WHERE doc_id = 5")
 def record_load(spark, sf_dir):
-    found = S.load(_chunks(spark, sf_dir), ["doc_id"], (5,))
+    found = S.load(_chunks(spark, sf_dir), ["doc_id"], (5,), most_chunks=MOST)
     return _whole(spark.createDataFrame([(5, bytearray(found[1]))] if found else [], "doc_id long, record binary"))
 
 
 @query(f"{_WHOLE} FROM ({_BODY})")
 def record_scan_forward(spark, sf_dir):
-    return _whole(S.records(_chunks(spark, sf_dir), ["doc_id"]))
+    return _whole(S.records(_chunks(spark, sf_dir), ["doc_id"], most_chunks=MOST))
 
 
 @query(f"{_WHOLE} FROM ({_BODY})")
 def record_scan_reverse(spark, sf_dir):
-    return _whole(S.records(_chunks(spark, sf_dir), ["doc_id"], reverse=True))
+    return _whole(S.records(_chunks(spark, sf_dir), ["doc_id"], reverse=True, most_chunks=MOST))
 
 
 @query(f"{_WHOLE} FROM ({_BODY}) ORDER BY doc_id DESC LIMIT 20")
 def record_limit(spark, sf_dir):
-    return _whole(S.records(_chunks(spark, sf_dir), ["doc_id"], reverse=True, limit=20))
+    return _whole(S.records(_chunks(spark, sf_dir), ["doc_id"], reverse=True, limit=20, most_chunks=MOST))
 
 
 @query(f"{_WHOLE} FROM (SELECT *, sum(n + 1) OVER (ORDER BY doc_id) AS rows FROM ({_BODY})) WHERE rows <= 200")
@@ -281,7 +282,7 @@ def record_limit_kv(spark, sf_dir):
 
 @query(f"{_WHOLE} FROM ({_BODY}) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def record_delete(spark, sf_dir):
-    return _whole(S.records(S.delete(_chunks(spark, sf_dir), ["doc_id"], _t(spark, sf_dir, "labels")), ["doc_id"], until_corrupt=False))
+    return _whole(S.records(S.delete(_chunks(spark, sf_dir), ["doc_id"], _t(spark, sf_dir, "labels")), ["doc_id"], until_corrupt=False, most_chunks=MOST))
 
 
 @query(f"SELECT b.doc_id, CASE WHEN l.doc_id IS NULL THEN b.bytes ELSE 3 * b.bytes END AS bytes, md5(CASE WHEN l.doc_id IS NULL THEN b.text ELSE b.text || b.text || b.text END) AS md5 FROM ({_BODY}) b LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON b.doc_id = l.doc_id")
@@ -289,7 +290,7 @@ def record_save_overwrite(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     changed = docs.select("doc_id", F.repeat(F.coalesce("text", F.lit("")), 3).alias("text"))
     v = version(F.lit(None), F.unhex(F.lpad(F.hex("doc_id"), 20, "0")), F.lit(1))
-    return _whole(S.records(S.save(_chunks(spark, sf_dir), ["doc_id"], changed, "text", v, CHUNK), ["doc_id"], until_corrupt=False))
+    return _whole(S.records(S.save(_chunks(spark, sf_dir), ["doc_id"], changed, "text", v, CHUNK, S.MAX_BYTES), ["doc_id"], until_corrupt=False, most_chunks=MOST))
 
 
 def _damaged(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
@@ -307,7 +308,7 @@ def _damaged(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
 
 @query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 212 WHEN 1 THEN 211 WHEN 2 THEN 212 WHEN 3 THEN 213 ELSE 0 END AS error_code FROM documents")
 def record_corruption(spark, sf_dir):
-    return S.classify(_damaged(spark, sf_dir, 0), ["doc_id"]).select("doc_id", F.coalesce("error_code", F.lit(0)).alias("error_code"))
+    return S.classify(_damaged(spark, sf_dir, 0), ["doc_id"], MOST).select("doc_id", F.coalesce("error_code", F.lit(0)).alias("error_code"))
 
 
 _BAD = "SELECT doc_id FROM documents WHERE doc_id >= 60 AND doc_id % 7 < 4"
@@ -316,7 +317,7 @@ _BAD = "SELECT doc_id FROM documents WHERE doc_id >= 60 AND doc_id % 7 < 4"
 @query(f"SELECT 'forward' AS direction, doc_id, bytes, md5(text) AS md5 FROM ({_BODY}) WHERE doc_id < (SELECT min(doc_id) FROM ({_BAD})) UNION ALL SELECT 'reverse', doc_id, bytes, md5(text) FROM ({_BODY}) WHERE doc_id > (SELECT max(doc_id) FROM ({_BAD}))")
 def record_scan_until_corrupt(spark, sf_dir):
     damaged = _damaged(spark, sf_dir, 60)
-    both = [_whole(S.records(damaged, ["doc_id"], reverse=r)).select(F.lit(d).alias("direction"), "*") for d, r in (("forward", False), ("reverse", True))]
+    both = [_whole(S.records(damaged, ["doc_id"], reverse=r, most_chunks=MOST)).select(F.lit(d).alias("direction"), "*") for d, r in (("forward", False), ("reverse", True))]
     return both[0].unionByName(both[1])
 
 

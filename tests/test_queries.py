@@ -34,6 +34,27 @@ def test_query(spark, data, duck, name):
     assert rows(got) == rows(want)
 
 
+RECORDS = [f"record_{x}" for x in "split header load scan_forward scan_reverse limit limit_kv delete save_overwrite corruption scan_until_corrupt".split()]
+
+
+@pytest.fixture(scope="module")
+def long_texts(tmp_path_factory):
+    """Records of more than 100 chunks of the queries, up to the reference's 10,000,000 bytes."""
+    d = tmp_path_factory.mktemp("long")
+    sizes = {0: 10, 1: 409_601, 2: 136_534, 4: 10_000_000, 5: 1_200_000, 6: 0, 60: 700_000, 61: 5, 63: 900_000, 67: 3_333_333, 68: 2}
+    pd.DataFrame({"doc_id": list(sizes), "text": [("%d word " % i * (n // 6 + 1))[:n] for i, n in sizes.items()]}).to_parquet(d / "documents.parquet")
+    pd.DataFrame({"doc_id": [2, 61, 67]}).to_parquet(d / "labels.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", RECORDS)
+def test_long_records(spark, long_texts, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{long_texts}/{t}.parquet'")
+    assert rows(QUERIES[name](spark, long_texts).toPandas()) == rows(con.sql(SQL[name]).df())
+
+
 def test_entry(spark, data):
     import __spark_entry__ as entry
 
