@@ -14,8 +14,10 @@ with such a sub-run, of one window at least, counts as contaminated by the item.
 Everything that grows with the corpus stays in rows of one document; the benchmark's tables are broadcast while they have
 at most ``sized()`` rows and shuffled beyond.
 
-Null and empty texts match nothing; very long texts are whole; items of fewer than ``least_literals`` words match
-nothing; repeated rows give one result row per doc_id and item; an empty table on either side gives an empty result; other
+An item without a usable window matches by its whole lower-cased token sequence: all its windows of plain tokens must be met
+at one shift.
+
+Null and empty texts match nothing; very long texts are whole; repeated rows give one result row per doc_id and item; an empty table on either side gives an empty result; other
 columns are ignored.
 """
 
@@ -54,39 +56,48 @@ def _folded(raw: str, t: str) -> Column:
     return F.zip_with(raw, t, lambda word, x: F.when(x == "<NAME>", F.lower(word)).otherwise(x))
 
 
+def _plain(raw: str) -> Column:
+    """The key of a window of tokens as they are but for letter case; no token is the first sign."""
+    return F.concat(F.array(F.lit("=")), F.transform(raw, F.lower))
+
+
 def benchmark_windows(benchmark: DataFrame, width: int, least_literals: int) -> DataFrame:
-    """(item_id, at, key, raw, anchor, off, w): the windows of each item; written."""
+    """(item_id, at, key, raw, anchor, off, w, plain, needed): the windows of each item; written."""
     items = benchmark.select("item_id", tokens(F.col("text").cast("string")).alias("raw")).filter(F.size("raw") > 0)
     items = items.withColumn("t", F.transform("raw", template)).withColumn("w", F.least(F.lit(width), F.size("raw")))
-    windows = items.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("w"))))
-    windows = windows.select("item_id", "at", "w", F.slice("raw", F.col("at") + 1, F.col("w")).alias("raw"), F.slice("t", F.col("at") + 1, F.col("w")).alias("t"))
     enough = lambda t: F.size(F.filter(t, _literal)) >= least_literals
-    windows = windows.withColumn("f", _folded("raw", "t")).filter(enough("f"))  # names are words of it, so enough in t is enough in f
-    windows = windows.withColumn("keys", F.array_distinct(F.when(enough("t"), F.array("t", "f")).otherwise(F.array("f")))).withColumn("t", F.col("keys")[0])
+    starts = F.sequence(F.lit(0), F.size("raw") - F.col("w"))
+    items = items.withColumn("f", _folded("raw", "t"))  # names are words of it, so enough in t is enough in f
+    items = items.withColumn("plain", ~F.exists(starts, lambda at: enough(F.slice("f", at + 1, F.col("w")))))
+    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("w")).alias(c)
+    windows = items.withColumn("needed", F.when(F.col("plain"), F.size(starts)).otherwise(1)).withColumn("at", F.explode(starts))
+    windows = windows.select("item_id", "at", "w", "plain", "needed", cut("raw"), cut("t"), cut("f")).filter(F.col("plain") | enough("f"))
+    windows = windows.withColumn("keys", F.when(F.col("plain"), F.array(_plain("raw"))).when(enough("t"), F.array_distinct(F.array("t", "f"))).otherwise(F.array("f")))
+    windows = windows.withColumn("t", F.when(F.col("plain"), F.transform("raw", F.lower)).otherwise(F.col("keys")[0]))
     best = F.array_max(F.transform("t", lambda x, i: F.struct(F.when(_literal(x), F.length(x)).otherwise(0).alias("n"), (-i).alias("i"))))
     windows = windows.withColumn("off", -best["i"]).withColumn("anchor", F.element_at("t", F.col("off") + 1))
     windows = windows.withColumn("key", F.explode("keys"))
-    return written(windows.select("item_id", "at", F.array_join("key", " ").alias("key"), "raw", "anchor", "off", "w"), "decontaminate-windows")
+    return written(windows.select("item_id", "at", F.array_join("key", " ").alias("key"), "raw", "anchor", "off", "w", "plain", "needed"), "decontaminate-windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_literals: int = 4) -> DataFrame:
     """doc_id, item_id, n_windows, n_tokens (the longest sub-run), exact (some sub-run has the item's own values)."""
     keys = benchmark_windows(benchmark, width, least_literals)
-    anchors = written(keys.groupBy("anchor").agg(F.collect_set(F.struct("off", "w")).alias("offs")), "decontaminate-anchors")
+    anchors = written(keys.groupBy("anchor").agg(F.collect_set(F.struct("off", "w", "plain")).alias("offs")), "decontaminate-anchors")
     # outer, so that no filter on the tokens' number makes them twice; null words meet no anchor
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text").cast("string")).alias("words"))
     words = words.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("pos", "word"))
     first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
     near = words.join(sized(anchors), F.lower("word") == F.col("anchor")).select("doc_id", "text_hash", "pos", "offs", F.size("words").alias("n"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * width - 1)).alias("around"))
     formed = near.withColumn("o", F.explode("offs")).withColumn("start", F.col("pos") - F.col("o.off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("o.w") <= F.col("n")))
-    formed = formed.select("doc_id", "text_hash", "start", F.slice("around", F.col("start") - F.col("first") + 1, F.col("o.w")).alias("own"))
+    formed = formed.select("doc_id", "text_hash", "start", F.slice("around", F.col("start") - F.col("first") + 1, F.col("o.w")).alias("own"), "o.plain")
     formed = formed.withColumn("t", F.transform("own", template))
-    both = F.when(F.array_contains("t", "<NAME>"), F.array(F.col("t"), _folded("own", "t"))).otherwise(F.array("t"))
+    both = F.when(F.col("plain"), F.array(_plain("own"))).when(F.array_contains("t", "<NAME>"), F.array(F.col("t"), _folded("own", "t"))).otherwise(F.array("t"))
     formed = formed.select("doc_id", "text_hash", "start", "own", F.explode(both).alias("key")).withColumn("key", F.array_join("key", " "))
-    met = formed.join(sized(keys), "key")
+    met = formed.join(sized(keys.drop("plain")), "key")
     value = F.filter(F.transform(F.arrays_zip("raw", "own"), lambda x, i: F.struct((F.col("at") + i).alias("p"), template(x["raw"]).alias("kind"), F.lower(x["raw"]).alias("theirs"), F.lower(x["own"]).alias("own"))), lambda x: ~_literal(x["kind"]))
-    runs = met.groupBy("doc_id", "text_hash", "item_id", (F.col("start") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"), F.max("w").alias("w"), F.array_distinct(F.flatten(F.collect_set(value))).alias("slots"))
-    return consistent(runs).groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max(F.col("last") + F.col("w") - F.col("first")).alias("n_tokens"), F.max("exact").alias("exact"))
+    runs = met.groupBy("doc_id", "text_hash", "item_id", (F.col("start") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"), F.max("w").alias("w"), F.max("needed").alias("needed"), F.array_distinct(F.flatten(F.collect_set(value))).alias("slots"))
+    return consistent(runs.filter(F.size("ats") >= F.col("needed"))).groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max(F.col("last") + F.col("w") - F.col("first")).alias("n_tokens"), F.max("exact").alias("exact"))
 
 
 def consistent(runs: DataFrame) -> DataFrame:

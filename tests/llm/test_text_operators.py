@@ -243,6 +243,13 @@ def test_decontamination_in_other_letter_case(spark):
     assert set(names) == {(1, 1)}
 
 
+def test_decontamination_of_items_without_words(spark):
+    series = " ".join(str(i * i) for i in range(3, 30))
+    bench = ["What is 12 * 7?", series, "東京の人口は何人ですか", "", None]
+    docs = ["Quiz: what is 12 * 7? Tell us", series, f"see {series} end", " ".join(series.split()[:-1]), "x 東京の人口は何人ですか y", "What is 12 * 8?", "What 12 is 7", ""]
+    assert set(leaks(spark, bench, docs)) == {(1, 1), (2, 2), (3, 2), (5, 3)}
+
+
 # --- toxicity and language ---
 
 
