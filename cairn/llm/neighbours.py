@@ -167,9 +167,9 @@ def usable(rows: DataFrame) -> DataFrame:
 
 def build_index(vectors: DataFrame, shard_rows: int = 4096, copies: int = 11, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """(dim, shard, x, edges, ids): one row per shard of about shard_rows distinct vectors; written."""
-    # equal vectors: the smallest ids of each salted part, then of all parts, so that no task holds a hot vector's rows
+    # equal vectors: the smallest ids of each salted part, then of all parts, so that no task holds a hot vector's rows; a repeated row is one id
     salted = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("v", "salt").orderBy("vec_id"))).filter(F.col("r") <= copies)
+    ranked = salted.withColumn("r", F.dense_rank().over(Window.partitionBy("v", "salt").orderBy("vec_id"))).filter(F.col("r") <= copies)
     nodes = written(ranked.groupBy("dim", "v").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, copies).alias("ids")), "neighbours-nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
     placed = nodes.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))  # one row per dimension

@@ -239,6 +239,14 @@ def test_nearest(spark, shard_rows):
     assert got[got["query_id"] == 7000]["vec_id"].tolist() == [7100]
 
 
+def test_repeated_rows_take_no_place_of_other_ids(spark):
+    ids = spark.range(3000).filter(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).orderBy("id").limit(4)  # of one salt
+    ids = [r["id"] for r in ids.collect()]
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids[:1] * 12 + ids[1:]] + [(5000, [9.0, 9.0])], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") == ids[1]).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got[:3]] == [(i, 0.0) for i in (ids[0], ids[2], ids[3])] and len(got) == 4
+
+
 def test_nearest_of_nothing(spark):
     df, _ = vectors(spark, 20)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
