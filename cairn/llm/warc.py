@@ -172,10 +172,10 @@ class Salvage:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """(page_id, first) of the pages that revisit another: the smallest page_id with an equal payload."""
+    """(page_id, mark, first) of the pages that revisit another: the payload's digest, the smallest page_id with an equal payload."""
     marks = pages.select("page_id", F.sha1(F.col("payload")).alias("mark")).filter(F.col("page_id").isNotNull())
     first = marks.groupBy("mark").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter(F.col("first") < F.col("last")).select("mark", "first")
-    return marks.join(first, "mark").filter(F.col("page_id") > F.col("first")).select("page_id", "first").distinct()
+    return marks.join(first, "mark").filter(F.col("page_id") > F.col("first")).select("page_id", "mark", "first").distinct()
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, limit: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     again = written(roles(rows.filter(F.length("payload") >= min_bytes)), "warc-roles")
     small = again.count() <= broadcast_rows
-    whole = rows.join(F.broadcast(again) if small else again, "page_id", "left").select("page_id", "url", "payload", "first")
+    marked = rows.withColumn("mark", F.sha1("payload"))  # a page_id may stand for several payloads
+    whole = marked.join(F.broadcast(again) if small else again, ["page_id", "mark"], "left").select("page_id", "url", "payload", "first")
     whole = whole.withColumn("first", F.when(F.length("payload") >= min_bytes, F.col("first")))
     return written(whole.mapInArrow(lambda b: _write(b, folder, limit), "archive string, records long, bytes long"), "warc-archives")
 

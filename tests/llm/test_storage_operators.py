@@ -145,6 +145,17 @@ def test_archive_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_pages_of_one_id(spark, broadcast_rows):
+    pages = [(1, "u", "copied"), (2, "u", "also copied"), (7, "u", "copied"), (7, "u", "own text"), (8, "u", "copied"), (8, "u", "also copied")]
+    folder = new_folder(spark, "test-warc")
+    archives = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), folder, broadcast_rows=broadcast_rows)
+    got = warc.read_archives(archives, folder).select("record_id", "kind", "refers_to", "payload_bytes").collect()
+    first = {"copied": 1, "also copied": 2, "own text": 7}
+    want = [(f"<urn:page:{p}>", *(("response", None) if first[h] == p else ("revisit", f"<urn:page:{first[h]}>")), len(h)) for p, _, h in pages]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 class Bytes:
     def __init__(self, data):
         self.data = data
