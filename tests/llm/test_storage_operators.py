@@ -6,7 +6,7 @@ import hashlib
 import random
 
 import numpy as np
-
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 from brute import crc
@@ -31,11 +31,12 @@ def test_piece_encoder(path):
     rng = random.Random(1)
     parts = ["a", "B", " ", "\n", "\t", "'s", "1", ".", ",", "é", "\xa0", "\x1d", "İ", "Σ", "́", "\x85", " ", "\0"]
     texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(1500)]
-    e = PieceEncoder(path, limit=50)
+    e = PieceEncoder(path, limit=5_000, block=2_000)
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
-        got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(part)]
+        got = [x.tolist() for ids, n in e.encode(pa.array(part)) for x in np.split(ids, np.cumsum(n)[:-1])]
         assert got == [x.ids for x in e.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert e.words.nbytes + e.ids.nbytes + e.ends.nbytes <= 5_000
 
 
 # --- best-fit packing ---
