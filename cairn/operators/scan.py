@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -103,15 +105,33 @@ class Scan:
         if caps:
             rows, ordered = rows.orderBy(*self._order()).limit(min(caps)), True
         if limiter and limiter.bytes is not None:
-            rows, ordered = running(rows, self._order(), self._bytes(), "_before").filter(F.col("_before") < limiter.left_bytes()).drop("_before"), False
+            n = self._rows_within(rows, limiter.left_bytes())
+            if n is not None:
+                rows, ordered = rows.orderBy(*self._order()).limit(n), True
+            else:
+                rows, ordered = running(rows, self._order(), self._bytes(), "_before").filter(F.col("_before") < limiter.left_bytes()).drop("_before"), False
         if not ordered:
             rows = rows.orderBy(*self._order())
         out = self._shaped(rows)
         return out.limit(self.most) if self.most and self.where else out
 
+    def _rows_within(self, rows: DataFrame, budget: int, first: int = 1_024, most: int = 65_536) -> int | None:
+        """How many rows a byte budget lets through, by the sizes of the first ones in order; None if it takes more than ``most`` of them."""
+        want = first
+        while want <= most:
+            sizes = [r[0] or 0 for r in rows.orderBy(*self._order()).limit(want).select(self._bytes()).collect()]  # numbers only
+            before = [0, *accumulate(sizes)]
+            n = bisect_left(before, budget)  # rows before which fewer bytes were read
+            if n < len(before) or len(sizes) < want:
+                return min(n, len(sizes))
+            want *= 8
+        return None
+
     def page(self, rows_at_once: int = 10_000) -> Page:
         """One page: at most ``rows_at_once`` rows are read at a time and limits are charged as they are used.
 
+        A token is a key, so the key columns must tell rows apart: two rows of equal keys are an error 202.
+
         Out-of-band limits are looked at first; an in-band limit is looked at before the end of the source."""
         limiter = self.limiter or ScanLimiter()
         token = self.token or Continuation.begin()
@@ -128,7 +148,11 @@ class Scan:
             keep = reduce(Column.__and__, self.where, F.lit(True))
             shaped = F.struct(*self.shape) if self.shape else F.struct(*(F.col(c) for c in self.source.columns))
             read = part.select(F.struct(*self.key).alias("_key"), self._bytes().alias("_bytes"), keep.alias("_keep"), shaped.alias("_row")).collect()  # one page
+            last = token.key if not token.is_begin_marker() else None
             for r in read:
+                if tuple(r["_key"]) == last:
+                    raise CairnError("cursor_incomplete_builder", f"several rows have the key {last}")
+                last = tuple(r["_key"])
                 if reason := limiter.reached():
                     return Page(got, reason, token)
                 if self.most is not None and len(got) >= self.most:

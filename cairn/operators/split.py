@@ -140,7 +140,8 @@ def delete_checked(chunks: DataFrame, key: Sequence[str], gone: DataFrame, most_
 
 
 def save(chunks: DataFrame, key: Sequence[str], changed: DataFrame, record: str, v: Column | None = None, chunk_bytes: int = CHUNK_BYTES, max_bytes: int | None = None) -> DataFrame:
-    """The chunk table with the changed records in place of the old ones of their keys."""
+    """The chunk table with the changed records in place of the old ones of their keys; an old one that is broken is an error 211."""
     new = split(changed, key, record, v, chunk_bytes, max_bytes)
-    return delete(chunks, key, changed).unionByName(new)
+    most_chunks = MOST_CHUNKS if max_bytes is None else -(-max_bytes // chunk_bytes)
+    return delete_checked(chunks, key, changed, most_chunks).unionByName(new)
 

@@ -14,6 +14,7 @@ from cairn.operators.keys import Element, Index, changes, primary_key
 from cairn.operators.limits import ScanLimiter
 from cairn.operators.prefix import ranked
 from cairn.operators.ranges import KeyRange, TupleRange, exclusive, inclusive
+from cairn.operators.record_scan import RecordPage, RecordScan
 from cairn.operators.scan import Page, Scan
 from cairn.operators.versions import version, with_local_versions
 from cairn.plans import descriptor as D
@@ -321,6 +322,51 @@ def record_scan_until_corrupt(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
+def _page_of_records(page: RecordPage) -> DataFrame:
+    """rn, reason (or the error), doc_id, bytes, md5 of the records of a page, numbered in scan order."""
+    reason = F.lit(page.reason.name if page.reason else f"{page.error.code} {page.error.name}")
+    place = F.create_map(*[F.lit(x) for i, (k,) in enumerate(page.keys) for x in (k, i + 1)]) if page.keys else None
+    rn = F.element_at(place, F.col("doc_id")).cast("long") if page.keys else F.lit(0).cast("long")
+    return _whole(page.records).select(rn.alias("rn"), reason.alias("reason"), "doc_id", "bytes", "md5")
+
+
+def _record_scan(spark: SparkSession, sf_dir: str) -> RecordScan:
+    return RecordScan.over(_chunks(spark, sf_dir), "doc_id", most_chunks=MOST)
+
+
+_NUMBERED = f"SELECT *, row_number() OVER (ORDER BY doc_id) AS up, row_number() OVER (ORDER BY doc_id DESC) AS down, sum(n + 1) OVER (ORDER BY doc_id) AS kv_up, sum(n + 1) OVER (ORDER BY doc_id DESC) AS kv_down FROM ({_BODY})"
+
+
+@query(f"SELECT up AS rn, 'KEY_VALUE_LIMIT_REACHED' AS reason, doc_id, bytes, md5(text) AS md5 FROM ({_NUMBERED}) WHERE kv_up <= 100")
+def record_page(spark, sf_dir):
+    return _page_of_records(_record_scan(spark, sf_dir).limited_by(ScanLimiter(key_values=100)).page(rows_at_once=32))
+
+
+@query(f"SELECT up - 7 AS rn, 'RETURN_LIMIT_REACHED' AS reason, doc_id, bytes, md5(text) AS md5 FROM ({_NUMBERED}) WHERE up BETWEEN 8 AND 27")
+def record_resume_forward(spark, sf_dir):
+    scan = _record_scan(spark, sf_dir)
+    return _page_of_records(scan.limit(20).continue_from(scan.limit(7).page().continuation.to_bytes()).page())
+
+
+@query(f"SELECT down - 5 AS rn, 'KEY_VALUE_LIMIT_REACHED' AS reason, doc_id, bytes, md5(text) AS md5 FROM ({_NUMBERED}) WHERE down > 5 AND kv_down - (SELECT max(kv_down) FROM ({_NUMBERED}) WHERE down = 5) <= 80")
+def record_resume_reverse(spark, sf_dir):
+    scan = _record_scan(spark, sf_dir).reverse()
+    return _page_of_records(scan.limited_by(ScanLimiter(key_values=80)).continue_from(scan.limit(5).page().continuation.to_bytes()).page())
+
+
+_FIRST_BAD, _LAST_BAD = (f"(SELECT {f}(doc_id) FROM ({_BAD}))" for f in ("min", "max"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) AS rn, '233 record_scan_corrupt' AS reason, doc_id, bytes, md5(text) AS md5 FROM ({_BODY}) WHERE doc_id < {_FIRST_BAD}")
+def record_corruption_forward(spark, sf_dir):
+    return _page_of_records(RecordScan.over(_damaged(spark, sf_dir, 60), "doc_id", most_chunks=MOST).page())
+
+
+@query(f"SELECT row_number() OVER (ORDER BY doc_id DESC) AS rn, '233 record_scan_corrupt' AS reason, doc_id, bytes, md5(text) AS md5 FROM ({_BODY}) WHERE doc_id > {_LAST_BAD}")
+def record_corruption_reverse(spark, sf_dir):
+    return _page_of_records(RecordScan.over(_damaged(spark, sf_dir, 60), "doc_id", most_chunks=MOST).reverse().page())
+
+
 # --- versions ---
 
 
@@ -333,10 +379,11 @@ def version_order(spark, sf_dir):
     return ranked(rows, [F.col("version").asc_nulls_first()]).select("event_id", "rn")
 
 
-@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS INTEGER) AS local_version FROM events")
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS INTEGER) AS local_version FROM events")
 def local_version(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
-    return with_local_versions(rows, ["day"], ["event_id"]).select("event_id", "local_version")
+    """A commit has a thousand events at most, whatever the table's size: far fewer than its versions can tell apart."""
+    rows = _t(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 1000).alias("commit"))
+    return with_local_versions(rows, ["commit"], ["event_id"]).select("event_id", "local_version")
 
 
 # --- keys and indexes ---
@@ -489,6 +536,32 @@ def value_tree(spark, sf_dir):
     return values.value_tree(rows, ["c_custkey"])
 
 
+_NOTES = "SELECT c_custkey, [c_mktsegment, nullif(c_name, 'x')] AS notes FROM customer"
+
+
+@query(f"""SELECT c_custkey, 'c_custkey' AS path, 'int64' AS type, CAST(c_custkey AS VARCHAR) AS value FROM customer
+ UNION ALL SELECT c_custkey, 'notes', 'repeated_string', '[]' FROM ({_NOTES})
+ UNION ALL SELECT c_custkey, 'notes[' || i || ']', 'string', notes[i + 1] FROM ({_NOTES}), (VALUES (0), (1)) t(i)
+ UNION ALL SELECT c_custkey, 'at', 'map_message_Place', CASE WHEN c_custkey % 4 > 0 THEN '{{}}' END FROM customer
+ UNION ALL SELECT c_custkey, 'at{{' || k || '}}', 'message_Place', '{{}}' FROM customer, (VALUES ('home'), ('work')) t(k) WHERE c_custkey % 4 > 0
+ UNION ALL SELECT c_custkey, 'at{{' || k || '}}.nation', 'int32', CAST(c_nationkey + n AS VARCHAR) FROM customer, (VALUES ('home', 0), ('work', 1)) t(k, n) WHERE c_custkey % 4 > 0""")
+def value_tree_nested(spark, sf_dir):
+    """Every element of a list and every value of a map carries its own tag."""
+    place = lambda n: F.struct((F.col("c_nationkey") + n).cast("int").alias("nation"))
+    at = F.when(F.col("c_custkey") % 4 > 0, F.create_map(F.lit("home"), place(0), F.lit("work"), place(1))).alias("at", metadata={"element": {"message": "Place"}})
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.array("c_mktsegment", F.nullif("c_name", F.lit("x"))).alias("notes"), at)
+    return values.value_tree(rows, ["c_custkey"])
+
+
+@query("SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS admitted FROM customer")
+def record_admission_nested(spark, sf_dir):
+    """The code knows a field more than the stored schema in a struct, and one in the structs of a list."""
+    note = lambda n: F.when(F.col("c_custkey") % n == 0, "set").alias("note")
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.struct("c_name", note(3)).alias("who"), F.array(F.struct("c_nationkey"), F.struct("c_nationkey")).alias("plain"), F.array(F.struct("c_nationkey", note(5))).alias("places"))
+    stored = T.StructType.fromDDL("c_custkey long, who struct<c_name:string>, plain array<struct<c_nationkey:int>>, places array<struct<c_nationkey:int>>")
+    return rows.select("c_custkey", values.admitted(rows, stored).alias("admitted"))
+
+
 def _uuid(text: Column) -> Column:
     return F.concat_ws("-", F.substring(text, 1, 8), F.substring(text, 9, 4), F.substring(text, 13, 4), F.substring(text, 17, 4), F.substring(text, 21, 12))
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from cairn.functions import uuids, values
 from cairn.operators import split as S
 from cairn.operators.keys import Element, Index, Registry, primary_key
-from cairn.operators.limits import ScanLimiter
+from cairn.operators.limits import ScanLimiter, StopReason
+from cairn.operators.record_scan import RecordScan
 from cairn.operators.versions import RecordContext, completed, version, with_local_versions
 from cairn.plans import descriptor as D
 from cairn.plans import schema as P
@@ -41,6 +42,98 @@ def test_split_round_trip(sizes, chunks):
         assert got == sorted(((r["pk"], r["body"]) for r in sizes.collect()), reverse=reverse)
 
 
+def kvs(rows):
+    return sum(1 + max(1, -(-n // N)) for n in rows)
+
+
+@pytest.mark.parametrize("at_once", [3, 10_000])
+def test_record_pages(sizes, chunks, at_once):
+    keys = sorted(r["pk"] for r in sizes.collect())
+    for backward in (False, True):
+        want = keys[::-1] if backward else keys
+        scan = RecordScan.over(chunks, "pk").reverse(backward)
+        whole = scan.page(at_once)
+        assert [k for (k,) in whole.keys] == want and whole.reason is StopReason.SOURCE_EXHAUSTED and whole.continuation.is_end_marker()
+        assert [(r["pk"], len(r["record"])) for r in whole.records.collect()] == [(k, k) for k in want]
+        assert scan.continue_from(whole.continuation).page().keys == []
+        got = []
+        for page in scan.limit(2).pages(at_once):
+            got += page.keys
+            assert page.reason in (StopReason.RETURN_LIMIT_REACHED, StopReason.SOURCE_EXHAUSTED)
+        assert [k for (k,) in got] == want
+        # a budget that ends within the third record: it is dropped, and read again by the page that resumes
+        page = scan.limited_by(ScanLimiter(key_values=kvs(want[:2]) + 1)).page(at_once)
+        assert [k for (k,) in page.keys] == want[:2] and page.reason is StopReason.KEY_VALUE_LIMIT_REACHED
+        assert [k for (k,) in scan.continue_from(page.continuation.to_bytes()).page(at_once).keys] == want[2:]
+        # a budget for exactly two records: the record limit comes first, and nothing more is read
+        budget = ScanLimiter(key_values=kvs(want[:2]))
+        assert scan.limit(2).limited_by(budget).page(at_once).reason is StopReason.RETURN_LIMIT_REACHED and budget.used_key_values == kvs(want[:2])
+        assert scan.limited_by(ScanLimiter(milliseconds=0)).page().reason is StopReason.TIME_LIMIT_REACHED
+
+
+def test_records_look_ahead(chunks):
+    budget = ScanLimiter()
+    page = RecordScan.over(chunks, "pk").limited_by(budget).page(stop_after=2)
+    assert page.keys == [(0,), (1,)] and page.reason is None and page.error is None and budget.used_key_values == 5  # two records and a header
+    assert RecordScan.over(chunks, "pk").continue_from(page.continuation).page(stop_after=1).keys == [(N - 1,)]
+    budget = ScanLimiter(bytes=1)
+    assert RecordScan.over(chunks, "pk").limited_by(budget).page().reason is StopReason.BYTE_LIMIT_REACHED and budget.used_key_values == 1
+
+
+def test_record_scan_builder(chunks):
+    for wrong in (lambda s: s.limit(0), lambda s: s.continue_from(b"garbage"), lambda s: RecordScan.over(chunks)):
+        with pytest.raises(CairnError, match="232"):
+            wrong(RecordScan.over(chunks, "pk"))
+
+
+@pytest.mark.parametrize("damage", ["split_idx = -1", "split_idx = 1", "split_idx = 0", "split_idx >= 0"])
+def test_broken_record_ends_a_page(chunks, damage):
+    """Whatever is missing of record 2 N, the scan stops before it in either direction with a 233, and the token is before it."""
+    broken = chunks.filter(~((F.col("pk") == 2 * N) & F.expr(damage)))
+    keys = [0, 1, N - 1, N, N + 1, 2 * N, 100 * N]
+    for backward, want in ((False, keys[:5]), (True, keys[:5:-1])):
+        page = RecordScan.over(broken, "pk").reverse(backward).page()
+        assert [k for (k,) in page.keys] == want and page.reason is None and page.error.code == 233
+        assert page.continuation.key == (want[-1], -1 if backward else -(-want[-1] // N) - 1)
+        again = RecordScan.over(broken, "pk").reverse(backward).continue_from(page.continuation).page()
+        assert again.keys == [] and again.error.code == 233
+    last = chunks.filter("pk = 16 and split_idx < 1")
+    assert RecordScan.over(last, "pk").page().error.code == 233 and RecordScan.over(last, "pk").reverse().page().error.code == 233
+
+
+def test_save_validates_the_old_record(spark, chunks):
+    broken = chunks.filter("not (pk = 9 and split_idx = -1)")
+    changed = spark.createDataFrame([(9, "new")], "pk long, body string")
+    with pytest.raises(CairnError, match="211"):
+        S.save(broken, ["pk"], changed, "body", stamp(), N)
+    assert S.load(S.save(chunks, ["pk"], changed, "body", stamp(), N), ["pk"], (9,))[1] == b"new"
+
+
+def test_admission_is_an_error(spark):
+    rows = spark.createDataFrame([(1, ("a", None)), (2, ("b", "set"))], "id long, who struct<name:string,note:string>")
+    stored = T.StructType.fromDDL("id long, who struct<name:string>")
+    assert [r[0] for r in rows.select(values.admitted(rows, stored)).collect()] == [True, False]
+    assert values.admit(rows.filter("id = 1"), stored).count() == 1
+    with pytest.raises(PySparkException, match="241"):
+        values.admit(rows, stored).collect()
+    one = lambda kind: D.Definitions.of([D.Message("cairn.R", (D.Field(1, "a", kind, D.OPTIONAL, "_a"),))])
+    assert values.admit(rows.filter("id = 1"), stored, (one("string"), "cairn.R"), (one("string"), "cairn.R")).count() == 1
+    with pytest.raises(CairnError, match="241"):
+        values.admit(rows, stored, (one("string"), "cairn.R"), (one("bytes"), "cairn.R"))
+
+
+def test_elements_are_tagged(spark):
+    rows = spark.createDataFrame([(["a", None], {"k": (1,)}), (None, {})], "l array<string>, m map<string,struct<n:int>>")
+    rows = rows.select("l", F.col("m").alias("m", metadata={"element": {"message": "Place"}}))
+    got = [r.asDict(True) for r in rows.select(*(values.tagged(F.col(f.name), f).alias(f.name) for f in rows.schema.fields)).collect()]
+    s = lambda v: {"type": "string", "value": v}
+    assert got[0]["l"] == {"type": "repeated_string", "value": [s("a"), s(None)]}
+    assert got[0]["m"] == {"type": "map_message_Place", "value": {"k": {"type": "message_Place", "value": {"n": {"type": "int32", "value": 1}}}}}
+    assert got[1] == {"l": {"type": "repeated_string", "value": None}, "m": {"type": "map_message_Place", "value": {}}}
+    tree = {(r["path"], r["type"], r["value"]) for r in values.value_tree(rows.limit(1), []).collect()}
+    assert tree == {("l", "repeated_string", "[]"), ("l[0]", "string", "a"), ("l[1]", "string", None), ("m", "map_message_Place", "{}"), ("m{k}", "message_Place", "{}"), ("m{k}.n", "int32", "1")}
+
+
 def test_too_large(spark):
     big = spark.createDataFrame([(1, "x" * (100 * N + 1))], "pk long, body string")
     with pytest.raises(PySparkException, match="214"):
