@@ -7,8 +7,11 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="cairn-"))
         atexit.register(shutil.rmtree, _OWN[0][7:], ignore_errors=True)
@@ -73,6 +78,17 @@ def rows_of(batch: pa.RecordBatch, size: int = 1024):
         yield batch.slice(at, size)
 
 
+def blocks(texts: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
+    """Slices of about size bytes of text, of one text at least."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + size, "right")) - 1)
+        yield pa.concat_arrays([texts[a:b]])  # offsets that begin at 0
+        a = b
+
+
 def trim() -> None:
     """Gives memory that a finished task no longer needs back to the system: workers are used again by later stages."""
     pa.default_memory_pool().release_unused()

@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from cairn.llm.shared import blocks
+
 #: White space of Python's and of the tokenizers' patterns, and characters that either may count as such.
 _SPACE = r"\s᠎​﻿\x1c-\x1f"
 _CUT = re.compile(rf"(?<=[^{_SPACE}])(?=[ \n][^{_SPACE}])")
@@ -164,12 +166,8 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each text) of the texts of a block, block by block."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
-        a = 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(before, before[a] + self.block, "right")) - 1)
-            pieces, n = self._pieces(pa.concat_arrays([texts[a:b]]))
+        for part in blocks(texts, self.block):
+            pieces, n = self._pieces(part)
             unique = pieces.dictionary_encode()
             del pieces
             pool, starts, counts = self._stemmed(unique.dictionary)
@@ -178,7 +176,6 @@ class PieceEncoder:
             ends = np.concatenate([[0], np.cumsum(counts)])
             cuts = ends[np.concatenate([[0], np.cumsum(n)])]
             yield pool[ragged(starts[at], counts)], np.diff(cuts)
-            a = b
 
 
 _encoders: dict[str, PieceEncoder] = {}
