@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where it is unset, a folder of our own (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="cairn-"))
             atexit.register(shutil.rmtree, _OWN[0][7:], ignore_errors=True)
