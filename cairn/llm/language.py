@@ -7,25 +7,25 @@ mean log-probability over all its windows; its score is that language's mean pro
 The fit reads at most ``train_docs`` documents of each language, chosen by a hash of doc_id, and ``train_windows`` windows
 of each, spread over the text; prediction reads every window of every text.
 
-Null texts, empty ones and those without a letter are ``und`` with score 0; very long texts are whole; rows with equal
-doc_id are predicted each; without labelled rows every text is ``und``; an empty table gives an empty result; other columns
-are ignored.
+Null texts, empty ones and those without a letter (Unicode category L) are ``und`` with score 0; very long texts are whole;
+rows with equal doc_id are predicted each, and those without one are not held out; of languages with equal scores the first
+in order is taken; without labelled rows every text is ``und``; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import rows_of, texts, written
+from cairn.llm.shared import rows_of, sized, texts, trim, written
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: str) -> np.ndarray:
@@ -89,31 +89,37 @@ class ByteNetwork:
                 np.add.at(g["embed"], x[rows, at + k], into[:, :, k * EMBED : (k + 1) * EMBED])
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01) -> ByteNetwork:
-        """Adam."""
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, least_steps: int = 400) -> ByteNetwork:
+        """Adam; few windows are seen more often, until there are least_steps steps."""
         rng, step = np.random.default_rng(11), 0
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
-        for epoch in range(epochs):
+        batches = -(-len(x) // batch)
+        epochs = max(epochs, -(-least_steps // batches))
+        for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
+                slower = rate / (1 + 5 * step / (epochs * batches))
                 step += 1
                 for k, g in self.gradients(x[order[at : at + batch]], y[order[at : at + batch]]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= ((rate / (1 + epoch)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (slower * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, learn: Column | None = None, train_docs: int = 1_000, train_windows: int = 4) -> ByteNetwork | None:
     """A network from rows with text and lang for which learn holds."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")) if learn is None else learn)
     ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    # about 4 train_docs rows of each language, the lowest of their hashes, are all that is ranked, however many there are
+    share = written(ids.groupBy("lang").agg((F.lit(4.0 * train_docs) / F.count("*")).alias("share")), "language-shares")
+    low = ids.join(sized(share), "lang").filter((F.xxhash64("doc_id") / F.lit(2.0**63) + 1) / 2 <= F.col("share")).drop("share")
     best = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = written(ids.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= train_docs).drop("r"), "language-chosen")  # train_docs rows a language
+    chosen = written(low.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= train_docs).drop("r"), "language-chosen")  # train_docs rows a language
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, learn: Column | None = None, train_docs: int = 1_000, t
                 out.append(w[np.unique(np.linspace(0, len(w) - 1, train_windows).astype(int))].tobytes() if LETTER.search(text) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "windows"])
 
-    got = texts(docs).join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(spread, "lang string, windows binary").collect()
+    got = texts(docs).join(sized(chosen), "doc_id").select("lang", "text").mapInArrow(spread, "lang string, windows binary").collect()
     got = sorted((r["lang"], bytes(r["windows"])) for r in got if r["windows"])
     classes = sorted({k for k, _ in got})
     if not classes:
