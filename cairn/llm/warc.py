@@ -253,7 +253,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a gap in an archive just written is an error."""
     folder = new_folder(pages.sparkSession, "warc")
-    found = read_archives(write_archives(pages, folder, min_bytes), folder).filter(F.col("gap").isNull())
+    found = read_archives(write_archives(pages, folder, min_bytes), folder)
+    found = found.filter(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("damaged archive"), "archive", "start", "gap")).cast("boolean")))
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(-?\d*)>$", 1), F.lit("")).cast("long")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
