@@ -17,8 +17,9 @@ at most ``sized()`` rows and shuffled beyond.
 An item without a usable window matches by its whole lower-cased token sequence: all its windows of plain tokens must be met
 at one shift.
 
-Null and empty texts match nothing; very long texts are whole; repeated rows give one result row per doc_id and item; an empty table on either side gives an empty result; other
-columns are ignored.
+Null and empty texts match nothing; very long texts are whole; repeated rows, and rows with equal doc_id, give one result row
+per doc_id and item, with the longest sub-run of any of them; rows with equal item_id are one item, found by any of its texts; an
+empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def benchmark_windows(benchmark: DataFrame, width: int, least_literals: int) ->
     return written(windows.select("item_id", "at", F.array_join("key", " ").alias("key"), "raw", "anchor", "off", "w", "plain", "needed"), "decontaminate-windows")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_literals: int = 4) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_literals: int = 4, broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, n_windows, n_tokens (the longest sub-run), exact (some sub-run has the item's own values)."""
     keys = benchmark_windows(benchmark, width, least_literals)
     anchors = written(keys.groupBy("anchor").agg(F.collect_set(F.struct("off", "w", "plain")).alias("offs")), "decontaminate-anchors")
@@ -88,7 +89,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, least_li
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text").cast("string")).alias("words"))
     words = words.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("pos", "word"))
     first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
-    near = words.join(sized(anchors), F.lower("word") == F.col("anchor")).select("doc_id", "text_hash", "pos", "offs", F.size("words").alias("n"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * width - 1)).alias("around"))
+    around = lambda df: df.withColumn("first", first).withColumn("around", F.slice("words", F.col("first") + 1, F.lit(2 * width - 1))).withColumn("n", F.size("words")).drop("words")
+    meets = F.lower("word") == F.col("anchor")
+    # beside few anchors a word's row may carry its document's words until it has met one; where rows are shuffled, only those around it
+    near = around(words.join(F.broadcast(anchors), meets)) if anchors.count() <= broadcast_rows else around(words).join(anchors, meets)
     formed = near.withColumn("o", F.explode("offs")).withColumn("start", F.col("pos") - F.col("o.off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("o.w") <= F.col("n")))
     formed = formed.select("doc_id", "text_hash", "start", F.slice("around", F.col("start") - F.col("first") + 1, F.col("o.w")).alias("own"), "o.plain")
     formed = formed.withColumn("t", F.transform("own", template))
