@@ -1,7 +1,10 @@
 """Approximate nearest neighbours with a robust-pruned directed graph per shard.
 
 Vectors are dealt to shards by a hash of their components; equal vectors meet there and become one node that carries its
-``copies`` smallest vec_ids (more can't be among the nearest of any query).  In a shard, nodes join the graph in batches:
+``copies`` smallest vec_ids (more can't be among the nearest of any query).  A shard is built by one task of its own.  There
+are as many shards as the cluster has shuffle partitions, but none has more than ``most_rows`` vectors or, where there are
+several, fewer than ``least_rows``: a query costs a beam search, whose length grows with the logarithm of its shard, for every
+``most_rows`` vectors.  In a shard, nodes join the graph in batches:
 a greedy beam search from the medoid proposes neighbours, and robust pruning keeps the nearest and drops every candidate
 that a kept one is closer to by the factor ``alpha`` - a relaxed rule that leaves long edges.  Back edges are added and
 pruned likewise.  Queries are sent, in blocks, to every shard,
@@ -10,8 +13,8 @@ where a beam search answers them; the answers are merged.
 Distances of the results are computed in double precision from the stored components.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part; vectors of another length are searched
-among their like; ties go to the smaller vec_id; rows with equal vec_id and components count once; a null vec_id takes no
-part; an empty table gives an empty result; other columns are ignored.
+among their like; ties go to the smaller vec_id; rows with equal vec_id and components count once; a vec_id of several vectors is
+one candidate, at its smallest distance, and one query, whose answers are merged; a null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import written
+from cairn.llm.shared import sized, trim, written
 
 DEGREE, BEAM, ALPHA, BATCH = 32, 48, 1.2, 128
 
@@ -165,23 +168,44 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull()).filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 4096, copies: int = 11, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
-    """(dim, shard, x, edges, ids): one row per shard of about shard_rows distinct vectors; written."""
+def build_index(vectors: DataFrame, least_rows: int = 4_096, most_rows: int = 131_072, copies: int = 11, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
+    """(dim, shard, x, edges, ids): one row per shard; written."""
     # equal vectors: the smallest ids of each salted part, then of all parts, so that no task holds a hot vector's rows; a repeated row is one id
     salted = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     ranked = salted.withColumn("r", F.dense_rank().over(Window.partitionBy("v", "salt").orderBy("vec_id"))).filter(F.col("r") <= copies)
     nodes = written(ranked.groupBy("dim", "v").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, copies).alias("ids")), "neighbours-nodes")
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    placed = nodes.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))  # one row per dimension
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = nodes.groupBy("dim").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("shards", F.greatest(F.ceil(F.col("n") / most_rows), F.least(F.ceil(F.col("n") / least_rows), F.lit(partitions))))
+    before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)  # one row per dimension
+    counts = written(counts.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0))), "neighbours-shards")
+    total = counts.agg(F.sum("shards")).first()[0] or 1
+    placed = nodes.join(sized(counts), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    alone = placed.select((F.col("first") + F.col("shard")).cast("int").alias("at"), "dim", "shard", "v", "ids").repartitionById(int(total), "at")  # a partition is a shard
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
         x = np.asarray(table["v"].combine_chunks().flatten(), np.float32).reshape(table.num_rows, -1)
         graph = Graph(x, degree=min(degree, max(1, len(x) - 1))).build(beam=beam)
-        ids = table["ids"].combine_chunks()
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "x": [x.tobytes()], "edges": [graph.edges.tobytes()], "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
+        yield pa.RecordBatch.from_arrays([pa.array([table["dim"][0].as_py()], pa.int32()), pa.array([table["shard"][0].as_py()], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([graph.edges.tobytes()], pa.binary()), pa.array([table["ids"].to_pylist()], pa.list_(pa.list_(pa.int64())))], names=["dim", "shard", "x", "edges", "ids"])
+        del graph, x, table, got
+        trim()
+
+    return written(alone.mapInArrow(build, "dim int, shard int, x binary, edges binary, ids array<array<bigint>>"), "neighbours-index")
 
-    made = placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, x binary, edges binary, ids array<array<bigint>>")
-    return written(made, "neighbours-index")
+
+def _first_ids(found: list[tuple[float, int]], own: int, k: int) -> list[tuple[float, int]]:
+    """The k smallest (distance, id), each id once and the query's own left out."""
+    out: dict[int, float] = {}
+    for s, v in sorted(found):
+        if v != own and v not in out:
+            out[v] = s
+            if len(out) == k:
+                break
+    return [(s, v) for v, s in out.items()]
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = 128, block: int = 256) -> DataFrame:
@@ -206,13 +230,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, beam: int =
                 for own, vector, found in zip(part["vec_id"].to_pylist(), q.astype(np.float64), nodes):
                     found = found[found >= 0]
                     d = np.sqrt(((x[found].astype(np.float64) - vector) ** 2).sum(1)).tolist()
-                    out += [(own, v, s) for s, v in sorted((s, v) for s, n in zip(d, found.tolist()) for v in ids[n] if v != own)[:k]]
+                    out += [(own, v, s) for s, v in _first_ids([(s, v) for s, n in zip(d, found.tolist()) for v in ids[n]], own, k)]
         columns = zip(*out) if out else ((), (), ())
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     found = shards.groupBy("dim", "shard", "chunk").cogroup(dealt.groupBy("dim", "shard", "chunk")).applyInArrow(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
