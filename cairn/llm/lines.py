@@ -15,7 +15,8 @@ The filter is probed from a broadcast copy while it is smaller than ``broadcast_
 index beyond that; likewise the confirmed keys.  Sizes are read before either is chosen.
 
 Null and empty texts are one empty line; very long texts and lines are read whole; rows with equal doc_id are one document
-when documents are counted, and each of them keeps its row; an empty table gives an empty result; other columns pass
+when documents are counted, and each of them keeps its row; rows without doc_id count for no key and lose no line; a line
+that several rows of the kept document hold stays in all of them; an empty table gives an empty result; other columns pass
 through whatever their names, but for the reserved names that begin with ``_ld_``.
 """
 
@@ -112,24 +113,25 @@ def _local_filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Twice-seen words of each shard."""
-    pack = zstandard.ZstdCompressor(level=1)
-    shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Twice-seen words of each shard; its rows follow each other, so one shard is held at a time."""
+    pack, shard = zstandard.ZstdCompressor(level=1), None
+    seen, again = np.zeros(SHARD_WORDS, np.uint64), np.zeros(SHARD_WORDS, np.uint64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(again)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, len(at), _pack(at.astype("<u4"), pack), _pack(again[at], pack))], names=["shard", "n", "at", "twice"])
+
     for batch in batches:
-        for shard, at, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-            if shard not in shards:
-                shards[shard] = np.zeros(SHARD_WORDS, np.uint64), np.zeros(SHARD_WORDS, np.uint64)
-            seen, again = shards[shard]
+        for number, at, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != shard:
+                yield from out()
+                shard = number
+                seen[:], again[:] = 0, 0
             at, once, twice = _unpack(at, "<u4"), _unpack(once, "<u8"), _unpack(twice, "<u8")
             again[at] |= twice | (seen[at] & once)
             seen[at] |= once
-    rows = []
-    for shard, (_, again) in shards.items():
-        at = np.flatnonzero(again)
-        if len(at):
-            rows.append((shard, len(at), _pack(at.astype("<u4"), pack), _pack(again[at], pack)))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["shard", "n", "at", "twice"])
+    yield from out()
 
 
 def twice_filter(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
@@ -139,7 +141,7 @@ def twice_filter(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
         raise ValueError("too many keys for 2^48 filter words")
     local = keys.select("keys").mapInArrow(lambda b: _local_filters(b, bits), "shard long, at binary, once binary, twice binary")
     parts = max(1, min(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // SHARD_WORDS + 1))
-    return written(local.repartition(parts, "shard").mapInArrow(_merge, "shard long, n long, at binary, twice binary"), "lines-twice"), bits
+    return written(local.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "shard long, n long, at binary, twice binary"), "lines-twice"), bits
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
