@@ -6,6 +6,8 @@ import hashlib
 import re
 import zlib
 
+import regex
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -70,3 +72,58 @@ def grams(text, n):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+_TOKEN = regex.compile(r"[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*|[%$€£°]")
+
+
+def _template(word, units):
+    if word[0].isdigit():
+        return "<NUM>"
+    if word.lower() in units:
+        return "<UNIT>"
+    return "<NAME>" if regex.match(r"\p{Lu}\p{Ll}", word) else word.lower()
+
+
+def leaks(docs, items, units, width=8, least=4):
+    """{(doc_id, item_id): most windows that match in a row with slots that agree} of [(doc_id, text)] and [(item_id, text)]."""
+    kinds = ("<NUM>", "<UNIT>", "<NAME>")
+    enough = lambda t: sum(x not in kinds for x in t) >= least
+    fold = lambda raw, t: tuple(w.lower() if x == "<NAME>" else x for w, x in zip(raw, t))
+    out = {}
+    for item, text in items:
+        raw = _TOKEN.findall(text or "")
+        w = min(width, len(raw))
+        if not raw:
+            continue
+        t = [_template(x, units) for x in raw]
+        starts = range(len(raw) - w + 1)
+        plain = not any(enough(fold(raw[a : a + w], t[a : a + w])) for a in starts)
+        for doc, content in docs:
+            own = _TOKEN.findall(content or "")
+            o = [_template(x, units) for x in own]
+            for shift in range(-len(raw), len(own)):
+                ats = []
+                for a in starts:
+                    b = a + shift
+                    if b < 0 or b + w > len(own):
+                        continue
+                    mine, theirs = (own[b : b + w], o[b : b + w]), (raw[a : a + w], t[a : a + w])
+                    if plain:
+                        same = [x.lower() for x in mine[0]] == [x.lower() for x in theirs[0]]
+                    else:
+                        same = enough(theirs[1]) and tuple(mine[1]) == tuple(theirs[1]) or enough(fold(*theirs)) and fold(*mine) == fold(*theirs)
+                    if same:
+                        ats.append(a)
+                if len(ats) < (len(starts) if plain else 1):
+                    continue
+                best = 0
+                for i in range(len(ats)):
+                    for j in range(i, len(ats)):
+                        places = {p for a in ats[i : j + 1] for p in range(a, a + w) if t[p] in kinds}
+                        pairs = {(t[p], raw[p].lower(), own[p + shift].lower()) for p in places}
+                        if len({x[:2] for x in pairs}) == len(pairs):
+                            best = max(best, j - i + 1)
+                if best:
+                    out[doc, item] = max(best, out.get((doc, item), 0))
+    return out

@@ -111,6 +111,18 @@ def test_id_files(spark):
     assert idfiles.round_trip(df.limit(0), WORDS).count() == 0
 
 
+def test_id_width(spark, tmp_path):
+    """An end id beyond 16 bits makes the ids 4 bytes wide."""
+    df = spark.createDataFrame([(i, t, 1, b"c") for i, t in enumerate(TEXTS)] + [(3, TEXTS[2], 1, b"c")], "doc_id long, text string, start long, n_tokens binary")
+    folder = new_folder(spark, "test-ids")
+    shards = idfiles.write_shards(df, folder, WORDS, end_id=70_000, shards=3).collect()
+    assert {idfiles.Shard(folder, s["shard"]).width for s in shards} == {4} and idfiles.id_width(WORDS, 2) == 2
+    found = {i: x for s in shards for i in range(len(TEXTS)) if (x := idfiles.Shard(folder, s["shard"]).get(i)) is not None}
+    assert {i: x.tolist() for i, x in found.items() if i != 3} == {i: [*encoded(WORDS, t), 70_000] for i, t in enumerate(TEXTS) if i != 3}
+    got = idfiles.round_trip(df, WORDS, 70_000).filter("doc_id = 3").collect()
+    assert sorted(r["ids_crc32"] for r in got) == sorted(crc([*encoded(WORDS, t), 70_000]) for t in (TEXTS[2], TEXTS[3]))
+
+
 def test_keyed_access(spark):
     folder = new_folder(spark, "test-ids")
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
@@ -157,6 +169,23 @@ def test_pages_of_one_id(spark, broadcast_rows):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_a_damaged_round_trip_fails(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "some text"), (2, "u", "other text")], "page_id long, url string, html string")
+    write = warc.write_archives
+
+    def damaged(*args, **kwargs):
+        archives = write(*args, **kwargs)
+        fs, root = pyarrow.fs.FileSystem.from_uri(args[1])
+        for r in archives.collect():
+            with fs.open_output_stream(f"{root}/{r['archive']}", compression=None) as out:
+                out.write(b"junk" * 20)
+        return archives
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.round_trip(df).collect()
+
+
 class Bytes:
     def __init__(self, data):
         self.data = data
@@ -227,11 +256,13 @@ def vectors(spark, n=1500, dim=16, seed=2):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows
 
 
-@pytest.mark.parametrize("shard_rows", [4096, 300])
-def test_nearest(spark, shard_rows):
+@pytest.mark.parametrize("least, most", [(4096, 131_072), (200, 131_072), (200, 300)])
+def test_nearest(spark, least, most):
     df, rows = vectors(spark)
     v = neighbours.usable(df)
-    index = neighbours.build_index(v, shard_rows=shard_rows)
+    index = neighbours.build_index(v, least, most)
+    shards = index.filter("dim = 16").count()
+    assert shards == {(4096, 131_072): 1, (200, 131_072): 4}.get((least, most), shards) and (most > 300 or shards >= 4)
     got = neighbours.search_index(index, v.filter("vec_id % 100 = 0").dropDuplicates(["vec_id", "v"])).toPandas()
     ids = np.array([i for i, x in rows if i is not None and i < 1500 and x][:1500])
     x = np.array([x for i, x in rows if i is not None and i < 1500 and x][:1500], np.float64)
@@ -259,6 +290,30 @@ def test_repeated_rows_take_no_place_of_other_ids(spark):
     assert [(r["vec_id"], r["score"]) for r in got[:3]] == [(i, 0.0) for i in (ids[0], ids[2], ids[3])] and len(got) == 4
 
 
+def test_recall_on_the_embeddings(spark, data):
+    """Several shards: 0.9 of the true neighbours and more are found."""
+    df = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    v = neighbours.usable(df)
+    index = neighbours.build_index(v, least_rows=300)
+    assert index.count() == 4
+    got = neighbours.search_index(index, v.filter("vec_id % 100 = 0")).toPandas()
+    every = v.toPandas()
+    x, ids = np.array(every["v"].tolist(), np.float64), every["vec_id"].to_numpy()
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        want = [i for _, i in sorted(zip(d.tolist(), ids.tolist())) if i != q][:10]
+        hits += len(set(want) & set(got[got["query_id"] == q]["vec_id"]))
+        total += len(want)
+    assert hits >= 0.9 * total
+
+
+def test_ids_of_several_vectors(spark):
+    df = spark.createDataFrame([(100, [0.0, 1.0], "x"), (100, [9.0, 9.0], "x"), (1, [0.0, 2.0], "x"), (2, [9.0, 8.0], "x"), (2, [0.0, 7.0], "x")], "vec_id long, embedding array<float>, score string")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
+    assert got == [(100, 1, 1, 1.0), (100, 2, 2, 1.0)]
+
+
 def test_nearest_of_nothing(spark):
     df, _ = vectors(spark, 20)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0

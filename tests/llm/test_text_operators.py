@@ -1,11 +1,14 @@
 """Secret scan, line dedup, Jaccard join, decontamination, toxicity and language on small fixtures."""
 
 import hashlib
+import os
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from brute import grams, groups, lines, secrets
+from brute import grams, groups, leaks as brute_leaks, lines, secrets
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, jaccard, language, secrets as scan, toxicity
@@ -46,6 +49,37 @@ def test_randomness_battery():
     assert [scan.encoding(x) for x in ("00ff", "00FF", "AB2Z", "zz09", "aZ+/", "aZ-_", "a.")] == ["hex", "HEX", "base32", "base36", "base64", "base64url", None]
 
 
+def test_random_strings_have_uniform_p_values():
+    rng = random.Random(3)
+    for kind in ("hex", "base64", "base32"):
+        for n in (20, 44, 130):
+            p = np.array([scan.battery("".join(rng.choice(scan.ALPHABETS[kind]) for _ in range(n)), kind) for _ in range(600)])
+            assert all(abs((p >= q).mean() - (1 - q)) < 0.1 for q in (0.1, 0.3, 0.5, 0.7, 0.9)) and (p == 1).mean() < 0.02
+    at = np.random.default_rng(1).integers(0, 36, (40, 30))
+    at[0], at[1, :15] = 0, 0
+    assert np.allclose(scan.statistics(at, "base36"), [scan.statistic("".join(scan.ALPHABETS["base36"][i] for i in row), "base36") for row in at])
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_false_discovery_rate_holds(share):
+    """A known mix: random strings, and others whose symbols are unevenly drawn."""
+    rng = random.Random(int(10 * share))
+    alphabet = scan.ALPHABETS["base64"]
+    known = [(rng.random() < share) for _ in range(3_000)]
+    p = [scan.battery("".join(rng.choices(alphabet if good else alphabet[: rng.choice((8, 20, 30))], k=44)), "base64") for good in known]
+    cells = [("g", b, sum(int(x * scan.BINS) == b for x in p)) for b in range(scan.BINS + 1)]
+    cut = scan.cut_offs(cells, 0.1, 0.01)["g"]
+    reported = [good for good, x in zip(known, p) if x > cut]
+    assert sum(not good for good in reported) <= 0.12 * len(reported) and sum(reported) >= 0.7 * sum(known)
+
+
+def test_secret_scan_of_long_texts_and_clashing_columns(spark):
+    long = "password=" + "a1B2" * 5 + " " + "word " * 50_000 + "token: zzzzzzzzzzzzzzz " + "0123456789abcdef " * 3_000
+    df = spark.createDataFrame([(1, long, 5, "x"), (None, "secret=abcdefghijklmn", 5, "x")], "doc_id long, text string, n_hex int, spans string")
+    got = rows(scan.digest(scan.secret_scan(df)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    assert got == sorted([(1, *secrets(long)[:4]), (None, *secrets("secret=abcdefghijklmn")[:4])], key=repr)
+
+
 def test_false_discovery_control():
     even = [("g", b, 10) for b in range(scan.BINS)]
     assert scan.cut_offs(even, 0.1, 0.01) == {"g": 0.01}
@@ -103,6 +137,16 @@ def test_line_dedup(spark, broadcast_bytes):
     assert dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_lines_of_rows_without_id(spark, broadcast_bytes):
+    line = "a line of more than twenty characters"
+    df = spark.createDataFrame([(1, line), (2, line), (None, line), (None, line), (3, None)], SCHEMA)
+    got = rows(dedup.line_dedup(df, broadcast_bytes=broadcast_bytes), "doc_id", "_ld_dropped", "text")
+    assert got == sorted([(1, 0, line), (2, 0, line), (None, 0, line), (None, 0, line), (3, 0, "")], key=repr)
+    more = rows(dedup.line_dedup(df.unionByName(spark.createDataFrame([(4, line)], SCHEMA)), broadcast_bytes=broadcast_bytes), "doc_id", "_ld_dropped")
+    assert more == sorted([(1, 1), (2, 1), (None, 0), (None, 0), (3, 0), (4, 0)], key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_random(spark, seed):
     rng = random.Random(seed)
@@ -129,10 +173,10 @@ def near_copies(seed, n=60):
 
 
 @pytest.mark.parametrize("k, num, den, seed", [(3, 90, 100, 1), (5, 80, 100, 2), (2, 50, 100, 3), (3, 90, 100, 4)])
-@pytest.mark.parametrize("chunk_rows", [16_384, 7])
-def test_jaccard_groups(spark, k, num, den, seed, chunk_rows):
+@pytest.mark.parametrize("part_bytes", [256 << 10, 4_000])
+def test_jaccard_groups(spark, k, num, den, seed, part_bytes):
     docs = near_copies(seed)
-    got = jaccard.jaccard_groups(spark.createDataFrame(docs, SCHEMA), k, num, den, chunk_rows)
+    got = jaccard.jaccard_groups(spark.createDataFrame(docs, SCHEMA), k, num, den, part_bytes)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == groups(docs, k, num, den)
 
 
@@ -143,6 +187,22 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_groups(docs.limit(0), 3, 90, 100).count() == 0
 
 
+def test_equal_ids_with_other_texts_are_one_node(spark):
+    rng = random.Random(3)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    docs = [(1, a), (2, b), (3, b.replace("w", "W")), (3, c), (4, c + " end"), (9, words(rng, 60))]
+    got = rows(jaccard.jaccard_groups(spark.createDataFrame([(*r, 7, "x") for r in docs], "doc_id long, text string, n long, node string"), 3, 90, 100), "doc_id", "component_id")
+    assert got == [(1, 1), (2, 2), (3, 2), (3, 2), (4, 2), (9, 9)]
+
+
+def test_very_long_near_copies(spark):
+    rng = random.Random(2)
+    long = words(rng, 30_000, 5_000)
+    docs = [(7, long), (3, long.replace(" w17 ", " q ")), (5, long[: len(long) // 2])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(docs, SCHEMA), 3, 90, 100, 100_000).collect()}
+    assert got == groups(docs, 3, 90, 100) and got[7][1] == 3
+
+
 def test_near_copies_of_an_absent_original(spark):
     """All pairs stay just below the threshold: the differences tell, and nothing links."""
     base = [f"b{i}" for i in range(100)]
@@ -150,8 +210,30 @@ def test_near_copies_of_an_absent_original(spark):
     assert {r["component_id"] for r in jaccard.jaccard_groups(spark.createDataFrame(docs, SCHEMA), 3, 90, 100).collect()} == {d for d, _ in docs} == {c for _, c in groups(docs, 3, 90, 100).values()}
 
 
+def test_links_come_from_the_search(monkeypatch):
+    """Near copies: what the search over inverted lists returns is what joins them, with the pivot and among each other."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
+    sets = []
+    for i in range(80):  # two families: the pivot's, and one that is just beyond its reach
+        s = np.concatenate([base[30:], np.arange(30, dtype=np.uint64)]) if i % 2 else base
+        gone = rng.choice(len(s), 3, replace=False)
+        sets.append(np.unique(np.concatenate([np.delete(s, gone), rng.integers(0, 1 << 60, 3).astype(np.uint64)])))
+    found, search = [], jaccard.divide_skip
+    monkeypatch.setattr(jaccard, "divide_skip", lambda *a: found.append(search(*a)) or found[-1])
+    block = jaccard.Block(sets[0], sets[1:], 90, 100)
+    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    linked = block.of_pivot().tolist()
+    assert linked == [i for i, s in enumerate(sets[1:]) if similar(sets[0], s)] and len(found) == 1 and len(found[0][0]) >= len(linked) > 20
+    for i in set(range(79)).difference(linked):
+        assert block.of(sets[1 + i]).tolist() == [j for j, s in enumerate(sets[1:]) if similar(sets[1 + i], s)]
+    assert sum(len(m) for m, _ in found[1:]) > 500
+
+
+@pytest.mark.parametrize("heap", [0, 1 << 13])
 @pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_divide_skip(least):
+def test_divide_skip(least, heap, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAP", heap)
     rng = np.random.default_rng(least)
     lists = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(9)]
     members, counts = jaccard.divide_skip(lists, least)
@@ -182,12 +264,46 @@ def test_decontamination(spark):
     ]
     df = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, words string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(df, bench).collect()}
-    assert set(got) >= {(1, 1), (2, 1), (7, 1)} and not {d for d, _ in got} & {4, 5, 6}
-    assert got[1, 1]["exact"] and got[7, 1]["exact"] and not got[2, 1]["exact"]
-    assert (3, 1) not in got or got[3, 1]["n_tokens"] < got[1, 1]["n_tokens"]
+    # 3 and short of it: its first windows agree with each other, its last ones with the item
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (7, 1), (8, 1)}
+    assert got[1, 1]["exact"] and got[7, 1]["exact"] and got[8, 1]["exact"] and not got[2, 1]["exact"]
+    assert got[3, 1]["n_tokens"] < got[1, 1]["n_tokens"]
+    assert {k: r["n_windows"] for k, r in got.items()} == brute_leaks(docs, [(1, ITEM)], decontaminate.UNITS)
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decontamination_by_brute_force(spark, seed):
+    """Copies, re-parameterised, edited and re-cased ones, of items with slots: the same pairs and run lengths as by trying all windows."""
+    rng = random.Random(seed)
+    vocabulary = "rope bridge walks keeps gives apples winter under seven over river small".split()
+    names, units = "Alice Bob Carol Dan Eve".split(), "km kg hours".split()
+    word = lambda: rng.choice((rng.choice(vocabulary), rng.choice(vocabulary), rng.choice(vocabulary), rng.choice(names), str(rng.randrange(20)), rng.choice(units)))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(1, 30)))) for i in range(12)]
+    docs = []
+    for d in range(120):
+        text = rng.choice(items)[1].split()
+        renamed = dict(zip(names, rng.sample(names, len(names)))) if rng.random() < 0.5 else {}
+        text = [renamed.get(w, w) for w in text]
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = word()
+        text = [word() for _ in range(rng.randrange(12))] + text[: rng.randrange(1, 31)] + [word() for _ in range(rng.randrange(12))]
+        docs.append((d, rng.choice((str, str, str.lower, str.upper))(" ".join(text))))
+    docs += [(500, None), (501, ""), (502, items[0][1])]
+    frames = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in decontaminate.contaminated(*frames).collect()}
+    assert got == brute_leaks(docs, items, decontaminate.UNITS) and len(got) > 30
+    shuffled = decontaminate.contaminated(*frames, broadcast_rows=0).collect()
+    assert {(r["doc_id"], r["item_id"]): r["n_windows"] for r in shuffled} == got
+
+
+def test_one_changed_slot_doesnt_hide_a_leak(spark):
+    at = ITEM.rindex("Alice")
+    docs = [ITEM[:at] + "Carol" + ITEM[at + 5 :], "13".join(ITEM.rsplit("12", 1))]
+    assert all(docs[i].split()[:12] == ITEM.split()[:12] for i in (0, 1))
+    assert set(leaks(spark, [ITEM], docs)) == {(1, 1), (2, 1)}
+
+
 def test_decontamination_needs_no_python(spark, data):
     docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontaminate.contaminated(docs, bench)
@@ -264,11 +380,41 @@ def test_toxicity(spark):
     assert len(got) == 403 and all(0 <= s <= 1 for s in got.values())
     right = sum((got[i] >= 0.5) == (i % 4 == 0) for i in range(300, 400))
     assert right >= 95 and got[902] > 0.5 and got[901] < 0.5
+    again = df.select("doc_id", "text", F.lit(2).alias("toxic"), F.lit("x").alias("score")).unionByName(df.select("doc_id", "text", F.lit(2).alias("toxic"), F.lit("x").alias("score")))
+    assert rows(toxicity.score(again, model), "doc_id", "score") == sorted([(d, s) for d, s in got.items()] * 2, key=repr)  # repeated rows, clashing columns
     none = toxicity.score(df, toxicity.fit(df, labels.filter("toxic = 0")))
     assert none.agg(F.max("score")).first()[0] == 0
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_of_held_out_labels(spark):
+    """The labels of sf0.1: documents that the fit doesn't learn from."""
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("the driver's tables aren't here")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels.filter(toxicity.held_out(F.col("doc_id"))), "doc_id").select("doc_id", "text", "toxic")
+    scored = toxicity.score(held, toxicity.fit(docs, labels)).join(labels, "doc_id").select("score", "toxic").toPandas()
+    s, y = scored["score"].to_numpy(), scored["toxic"].to_numpy()
+    auc = (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
+    print(f"AUC {auc:.3f}, caught {(s[y == 1] >= 0.5).mean():.3f}, clean rejected {(s[y == 0] >= 0.5).mean():.4f}")
+    assert auc >= 0.9 and (s[y == 1] >= 0.5).mean() >= 0.65 and (s[y == 0] >= 0.5).mean() <= 0.03
+
+
+def test_distances_are_those_of_every_word(spark):
+    """No word is left out: distances equal plain compression of each framed word, remembered or not."""
+    rng = random.Random(4)
+    toxic, plain = ([[f"{k}{rng.randrange(60)}".encode() for _ in range(60)] for _ in range(40)] for k in ("scumbag", "ordinary"))
+    both = toxicity.train_dictionaries(toxic, plain)
+    d = toxicity.Distance(*both)
+    texts = ["scumbag7, ordinary8! (neither)", "", None, "  Scumbag7\tx\n", "ordinary8 " * 30_000]
+    for _ in range(2):
+        got, n = zip(*(d.of(p) for p in toxicity.blocks(pa.array(texts), 64)))
+        words = [w for t in texts for w in (toxicity._words(t) or [b""])]
+        assert np.concatenate(got).tolist() == [d._window(w.decode()) for w in words] and np.concatenate(n).tolist() == [3, 1, 1, 2, 30_000]
+    assert d._window("scumbag7") > 0 >= d._window("ordinary8")
+
+
 def test_language(spark):
     rng = random.Random(8)
     kinds = {"aa": "ka lo mi tu", "bb": "the ing ed tion", "cc": "ñu çe öl über"}
@@ -283,6 +429,27 @@ def test_language(spark):
     assert language.fit(df.filter("lang is null")) is None and language.predict(df, None).filter("lang_pred = 'und'").count() == 454
 
 
+def test_language_of_texts_without_letters(spark):
+    df = spark.createDataFrame([(i, t, "aa", "clash") for i, t in enumerate(["½ ² Ⅷ 12", "_-_ 3", "ª", "語", "x"])] + [(None, "abc", "aa", "c"), (0, "½ ² Ⅷ 12", "aa", "c")], "doc_id long, text string, lang string, lang_pred string")
+    model = language.fit(df, F.lit(True))
+    got = rows(language.predict(df, model), "doc_id", "lang_pred")
+    assert got == sorted([(0, "und"), (0, "und"), (1, "und"), (2, "aa"), (3, "aa"), (4, "aa"), (None, "aa")], key=repr)
+    assert language.predict(df.limit(0), model).count() == 0
+
+
+def test_rows_without_id_are_not_held_out(spark):
+    for held in (language.held_out, toxicity.held_out):
+        got = spark.range(40).select("id", held(F.col("id")).alias("h")).unionByName(spark.createDataFrame([(None,)], "id long").select("id", held(F.col("id")).alias("h"))).collect()
+        mod, rest = (4, 2) if held is language.held_out else (5, 0)
+        assert all(r["h"] == (r["id"] is not None and zlib.crc32(str(r["id"]).encode()) % mod == rest) for r in got)
+
+
+def test_training_draws_the_same_rows_whatever_the_sizes(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("abc "), F.col("id")).alias("text"), F.when(F.col("id") < 29_000, "big").otherwise("small").alias("lang"))
+    model = language.fit(df, train_docs=50, train_windows=1)
+    assert model.classes == ["big", "small"]
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = language.ByteNetwork(["a", "b", "c"])
