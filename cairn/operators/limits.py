@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
+from typing import TypeVar
+
+from pyspark.sql import SparkSession
+
+Result = TypeVar("Result")
 
 
 class StopReason(Enum):
@@ -44,6 +52,9 @@ class ScanLimiter:
     def time_is_up(self) -> bool:
         return self.milliseconds is not None and (time.monotonic() - self.began) * 1000 >= self.milliseconds
 
+    def left_milliseconds(self) -> float | None:
+        return None if self.milliseconds is None else max(0.0, self.milliseconds - (time.monotonic() - self.began) * 1000)
+
     def reached(self) -> StopReason | None:
         if self.left_key_values() == 0:
             return StopReason.KEY_VALUE_LIMIT_REACHED
@@ -54,3 +65,25 @@ class ScanLimiter:
     def charge(self, key_values: int, n_bytes: int) -> None:
         self.used_key_values += key_values
         self.used_bytes += n_bytes
+
+
+def in_time(spark: SparkSession, limiter: ScanLimiter, run: Callable[[], Result]) -> Result | None:
+    """What run() gives; None if the limiter's time is up before, which also cancels the jobs that run() has started."""
+    left = limiter.left_milliseconds()
+    if left is None:
+        return run()
+    context, group, names = spark.sparkContext, f"scan-{uuid.uuid4().hex}", ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = [(k, context.getLocalProperty(k)) for k in names]
+    timer = threading.Timer(left / 1000, lambda: context._jsc.sc().cancelJobGroupAndFutureJobs(group))
+    context.setJobGroup(group, "scan with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return run()
+    except Exception:
+        if limiter.time_is_up():
+            return None
+        raise
+    finally:
+        timer.cancel()
+        for k, v in before:
+            context.setLocalProperty(k, v)

@@ -10,7 +10,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cairn.operators.limits import ScanLimiter, StopReason
+from cairn.operators.limits import ScanLimiter, StopReason, in_time
 from cairn.operators.prefix import running
 from cairn.operators.ranges import TupleRange
 from cairn.plans.errors import CairnError
@@ -144,15 +144,18 @@ class Scan:
             if self.most is not None and len(got) >= self.most:
                 return Page(got, StopReason.RETURN_LIMIT_REACHED, token)
             want = min(x for x in (rows_at_once, limiter.left_key_values(), self.most - len(got) if self.most is not None and not self.where else None) if x is not None)
-            part = replace(self, token=token).read().orderBy(*self._order()).limit(want)
+            part = replace(self, token=token).read().orderBy(*self._order()).limit(want + 1)  # and the key behind them
             keep = reduce(Column.__and__, self.where, F.lit(True))
             shaped = F.struct(*self.shape) if self.shape else F.struct(*(F.col(c) for c in self.source.columns))
-            read = part.select(F.struct(*self.key).alias("_key"), self._bytes().alias("_bytes"), keep.alias("_keep"), shaped.alias("_row")).collect()  # one page
-            last = token.key if not token.is_begin_marker() else None
+            read = part.select(F.struct(*self.key).alias("_key"), self._bytes().alias("_bytes"), keep.alias("_keep"), shaped.alias("_row"))
+            read = in_time(read.sparkSession, limiter, read.collect)  # one page
+            if read is None:
+                return Page(got, StopReason.TIME_LIMIT_REACHED, token)
+            for a, b in zip(read, read[1:]):
+                if a["_key"] == b["_key"]:
+                    raise CairnError("cursor_incomplete_builder", f"several rows have the key {tuple(a['_key'])}")
+            read = read[:want]
             for r in read:
-                if tuple(r["_key"]) == last:
-                    raise CairnError("cursor_incomplete_builder", f"several rows have the key {last}")
-                last = tuple(r["_key"])
                 if reason := limiter.reached():
                     return Page(got, reason, token)
                 if self.most is not None and len(got) >= self.most:

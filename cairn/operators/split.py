@@ -80,12 +80,13 @@ def records(chunks: DataFrame, key: Sequence[str], reverse: bool = False, limit:
     """The whole records in key order: key, version, record.  A scan stops before the first broken one, in its direction."""
     if limit is not None and limit <= 0:
         raise CairnError("record_builder_limit", "a record limit is positive")
-    whole = gathered(chunks, key).withColumn("error_code", _error(most_chunks))
     order = [F.col(k).desc_nulls_last() if reverse else F.col(k).asc_nulls_first() for k in key]
     if until_corrupt:
-        first = whole.filter(F.col("error_code").isNotNull()).select(*key).orderBy(*order).limit(1).collect()
+        first = classify(chunks, key, most_chunks).filter(F.col("error_code").isNotNull()).select(*key).orderBy(*order).limit(1).collect()
         if first:
-            whole = whole.filter(compare(key, tuple(first[0]), reverse, False))
+            chunks = chunks.filter(compare(key, tuple(first[0]), reverse, False))
+    # chunks move once: what is dealt out by key ranges is grouped and sorted where it is
+    whole = gathered(chunks.repartitionByRange(*order), key).withColumn("error_code", _error(most_chunks))
     out = whole.filter(F.col("error_code").isNull()).select(*key, F.col("head.version").alias("version"), joined().alias("record")).orderBy(*order)
     return out.limit(limit) if limit else out
 

@@ -134,6 +134,12 @@ def test_elements_are_tagged(spark):
     assert tree == {("l", "repeated_string", "[]"), ("l[0]", "string", "a"), ("l[1]", "string", None), ("m", "map_message_Place", "{}"), ("m{k}", "message_Place", "{}"), ("m{k}.n", "int32", "1")}
 
 
+def test_scans_move_chunks_once(chunks):
+    for df in (S.records(chunks, ["pk"]), S.records(chunks, ["pk"], reverse=True), RecordScan.over(chunks, "pk").page().records):
+        plan = df._jdf.queryExecution().sparkPlan().toString() and df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan
+
+
 def test_too_large(spark):
     big = spark.createDataFrame([(1, "x" * (100 * N + 1))], "pk long, body string")
     with pytest.raises(PySparkException, match="214"):

@@ -1,6 +1,7 @@
 """Ranges, limits, tokens and pages of the 5 x 5 key fixture."""
 
 import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,30 @@ def test_running_sums(spark):
     df = spark.range(1000).selectExpr("(id * 37) % 1000 as k")
     got = {r["k"]: (r["before"], r["rn"]) for r in ranked(running(df, [F.col("k")], F.col("k"), "before"), [F.col("k")]).collect()}
     assert got == {k: (k * (k - 1) // 2, k + 1) for k in range(1000)}
+
+
+def test_time_limit_stops_a_running_scan(spark):
+    slow = spark.range(0, 100, 1, 1).withColumn("v", F.expr("java_method('java.lang.Thread', 'sleep', 100L + id - id)"))
+    began = time.monotonic()
+    page = Scan.over(slow, "id").range(TupleRange.all()).limited_by(ScanLimiter(milliseconds=1_500)).page()
+    assert page.reason is StopReason.TIME_LIMIT_REACHED and page.rows == [] and page.continuation.is_begin_marker()
+    assert time.monotonic() - began < 8
+    assert len(Scan.over(spark.range(5).toDF("id"), "id").range(TupleRange.all()).limited_by(ScanLimiter(milliseconds=60_000)).page().rows) == 5
+
+
+def test_rows_of_equal_keys_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 1)], "k long, v long")
+    with pytest.raises(CairnError, match="202"):
+        Scan.over(df, "k").range(TupleRange.all()).page()
+    with pytest.raises(CairnError, match="202"):
+        Scan.over(df, "k").range(TupleRange.all()).page(rows_at_once=2)
+    assert len(Scan.over(df, "k", "v").range(TupleRange.all()).page(rows_at_once=2).rows) == 4
+
+
+@pytest.mark.parametrize("budget", [0, 1, 5, 6, 7_000, 10**9])
+def test_byte_limit(spark, budget):
+    sizes = [(i * 37) % 11 for i in range(3_000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, n long")
+    scan = Scan.over(df, "k").range(TupleRange.all()).sized(F.col("n")).limited_by(ScanLimiter(bytes=budget))
+    want = [k for k in range(3_000) if sum(sizes[:k]) < budget] if budget < 10**6 else list(range(3_000))
+    assert [r["k"] for r in scan.df().collect()] == want
