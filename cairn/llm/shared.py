@@ -47,9 +47,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+def bounded(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Batches of at most size bytes to and from Python workers, whatever the rows' lengths: a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written in the shared folder and read again: its lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
+    bounded(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -69,6 +75,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator reads, a null text as an empty one."""
+    bounded(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

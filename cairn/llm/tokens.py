@@ -50,7 +50,7 @@ def _flags(x: pa.Array) -> np.ndarray:
 class PieceEncoder:
     """ids of texts; ``limit`` bounds the bytes of what is remembered, ``block`` those of the texts split at a time."""
 
-    def __init__(self, path: str, limit: int = 24 << 20, block: int = 4 << 20):
+    def __init__(self, path: str, limit: int = 12 << 20, block: int = 2 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.limit, self.block = path, limit, block
         self.tokenizer = Tokenizer.from_file(path)

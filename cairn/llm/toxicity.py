@@ -36,7 +36,7 @@ from cairn.llm.shared import blocks, texts, trim, written
 BEFORE, AFTER = b" the and of to in is it that ", b" der die und le la de que "
 LEVEL, MATCH = 19, 5
 BASE_BYTES, OWN_BYTES = 32_768, 8_192
-MEMORY = 24 << 20
+MEMORY = 16 << 20
 MARKS = ".,!?;:%$&#*()[]\"'"
 THRESHOLDS = (1, 2, 3, 4)
 FEATURES = 3 + 2 * len(THRESHOLDS)
@@ -118,7 +118,7 @@ class Distance:
     def features(self, column: pa.Array) -> np.ndarray:
         """A row of features for each text."""
         out = [np.zeros((0, FEATURES))]
-        for part in blocks(column):
+        for part in blocks(column, 2 << 20):
             d, n = self.of(part)
             at = np.cumsum(n) - n
             above = [np.add.reduceat((d >= k).astype(np.int64), at) for k in THRESHOLDS]
