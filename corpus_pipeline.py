@@ -1,7 +1,10 @@
 """A training corpus from documents in five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs; all
-but the last return the columns of documents.  Rows without doc_id can't be judged by a stage that decides by doc_id; they pass.
+but the last return the columns of documents, others are left out.  Rows without doc_id can't be judged by a stage that decides
+by doc_id; they pass.  Null and empty texts pass every stage (after line dedup a null text is an empty one) and are packed as one end id; very long texts are judged,
+cleaned and packed whole; rows with equal doc_id stay or go together; empty tables give an empty result, and a missing class of
+labels rejects nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, jaccard, lines, packing, toxicity
-from cairn.llm.shared import documents, sized, written
+from cairn.llm.shared import discard, documents, sized, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,11 +43,13 @@ def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, as it is or with other names and values, go."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, written(found.select("doc_id").filter("doc_id is not null").distinct(), "pipeline-leaks"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens of what is left: the columns are those of packing.pack()."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
@@ -63,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)  # one copy of the corpus at a time
+        before = docs
     return docs
