@@ -58,4 +58,8 @@ class RecordContext:
         self._incarnation = value
 
     def age_milliseconds(self) -> int:
-        return int((time.monotonic() - self._began) * 1000)
+        """Since the context was made; what 64 bits can't hold is an error 221."""
+        age = int((time.monotonic() - self._began) * 1000)
+        if not 0 <= age < 1 << 63:
+            raise CairnError("context_age_overflow")
+        return age

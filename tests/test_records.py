@@ -307,3 +307,11 @@ def test_snapshots(spark, tmp_path, sizes):
     assert store.global_version(2) == b"\0" * 9 + b"\2"
     with pytest.raises(FileNotFoundError):
         store.read(9)
+
+
+def test_age_overflow(monkeypatch):
+    context = RecordContext()
+    assert context.age_milliseconds() >= 0
+    context._began = -float(1 << 61)
+    with pytest.raises(CairnError, match="221"):
+        context.age_milliseconds()
