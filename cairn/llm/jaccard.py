@@ -6,25 +6,30 @@ A document's set holds the 64-bit hashes of its distinct k-word shingles.  Two d
 1. One pass makes each set's size and 128-bit digest; documents with equal sets are one node.  The same pass counts
    shingles into a fixed number of cells, which gives a global order: rare cells first.
 2. Linked sets share at least ``l`` of the first ``n - ceil(num/den n) + l`` shingles of this order, for every l; here l
-   grows with n.  Postings of these prefixes are dealt out by shingle; those without another node of a size that can link
-   go.  A node with fewer postings left than l allows can't link and goes too, which removes what shares by chance.
-   The nodes left in a shingle's list whose sizes can link are put in a block named after its smallest node, the pivot.
-   So every link joins two nodes of some block, and near copies, which share most lists, share a pivot.
-3. In a block each set becomes its difference from the pivot's set: what it lacks of it and what it adds.  With that, an
-   overlap of T shingles is an overlap of ``T - |p| + |lacks x| + |lacks y|`` differences.  If that is at most 0, both
-   link with the pivot itself.  Otherwise a search over the inverted lists of the differences finds the partners: the
-   short lists are merged and counted, the ``L`` longest ones only probed, by binary search, for candidates that reached
-   the threshold less L.  Groups of near copies cost their differences, not all pairs.  Large blocks are cut into chunks,
-   and every pair of chunks is searched.
-4. Links are joined to components in rounds over written edges.
+   grows with n.  Postings (shingle, node, size) of these prefixes are rows; shingles of one node go, and a node with fewer
+   postings left than l allows can't link and goes too, which removes what shares by chance.  The nodes left in a shingle's
+   list whose sizes can link are put in a block named after its smallest node, the pivot.  So every link joins two nodes of
+   some block, and near copies, which share most lists, share a pivot.  Lists are counted with partial sums and joined
+   back, so a frequent shingle's rows never meet in one task.
+3. A block is searched by T-occurrence: two sets of a and b shingles link when they share T = ceil(num (a + b) / (num + den)),
+   so a query's partners are the nodes in at least T of the inverted lists of its shingles.  DivideSkip merges the short
+   lists with a heap and counts, and probes the ``L`` longest ones, by binary search, only for candidates that reached the
+   threshold less L.  The pivot is the first query.  What it doesn't link with is searched against the whole block: there
+   each set is its difference from the pivot's set - what it lacks of it and what it adds - and an overlap of T shingles is
+   an overlap of ``T - |p| + |lacks x| + |lacks y|`` differences, so that groups of near copies cost their differences, not
+   all pairs.
+4. A block of more than ``part_bytes`` is cut into chunks: the pivot queries each chunk, and only the nodes that it doesn't
+   link with are searched against all chunks, in chunks of such queries; no task holds more than two chunks of ``block_bytes``.
+5. Links are joined to components in rounds over written edges.
 
 Null and empty texts have an empty set and link with nothing; texts of fewer than k words have one shingle, the whole
-sequence; very long texts are whole; rows with equal doc_id are one node; a null doc_id links with nothing; an empty table
-gives an empty result; other columns are ignored.
+sequence; very long texts are whole; rows with equal doc_id are one node, which links as any of its texts does, and all of
+them stay; a null doc_id links with nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -37,6 +42,7 @@ from pyspark.sql import functions as F
 from cairn.llm.shared import components, discard, rows_of, sized, texts, trim, written
 
 CELLS_BITS, CELL_CHUNKS = 22, 64
+HEAP, SLAB = 1 << 13, 64  # entries of lists that the interpreted heap merges, or that are probed together; lists probed together
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -102,83 +108,29 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + shared_least(n)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, shingles, nodes, sizes), packed, of the prefixes of a few thousand documents at a time."""
+def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(token, node, size) of the prefixes."""
     cells = order.value
     shift = np.uint64(64 - CELLS_BITS)
-    tokens, nodes, sizes, held = [], [], [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-        to = (token % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(to, kind="stable")
-        token, node, size, to = token[by], node[by], size[by], to[by]
-        cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
-        rows = [(int(to[a]), token[a:b].tobytes(), node[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(to)])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["part", "token", "node", "size"])
-
     for batch in batches:
-        for part in rows_of(batch):
+        for part in rows_of(batch, 256):
+            tokens, nodes, sizes = [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                 s = shingles(text, k)
                 if doc_id is None or not len(s):
                     continue
                 p = prefix_size(len(s), num, den)
                 rank = cells[(s >> shift).astype(np.int64)]
-                first = s[np.lexsort((s, rank))[:p]]
-                tokens.append(first)
-                nodes.append(np.full(len(first), doc_id, np.int64))
-                sizes.append(np.full(len(first), len(s), np.int32))
-                held += len(first)
-            if held >= 1 << 18:
-                yield from flush()
-                tokens, nodes, sizes, held = [], [], [], 0
-    if held:
-        yield from flush()
-    del tokens, nodes, sizes
+                tokens.append(s[np.lexsort((s, rank))[:p]])
+                nodes.append(doc_id)
+                sizes.append(len(s))
+            if tokens:
+                n = [len(x) for x in tokens]
+                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), n), np.repeat(np.array(sizes, np.int32), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size"])
     trim()
 
 
-def _shared(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(token, node, size) of the postings that another node of a size that can link has as well."""
-    token, node, size = [], [], []
-    for batch in batches:
-        for x, to, kind in ((1, token, np.uint64), (2, node, np.int64), (3, size, np.int32)):
-            to += [np.frombuffer(v, kind) for v in batch.column(x).to_pylist()]
-    if not token:
-        return
-    token, node, size = np.concatenate(token), np.concatenate(node), np.concatenate(size).astype(np.int64)
-    by = np.argsort(token, kind="stable")
-    again = np.diff(token[by]) == 0
-    by = by[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
-    by = by[np.lexsort((node[by], size[by], token[by]))]
-    token, node, size = token[by], node[by], size[by]
-    near = (token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (den * size[:-1] >= num * size[1:])
-    keep = np.concatenate([near, [False]]) | np.concatenate([[False], near]) if len(token) else near
-    token, node, size = token[keep].view(np.int64), node[keep], size[keep]
-    for a in range(0, len(token), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (token, node, size)], names=["token", "node", "size"])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(pivot, node) pairs of the lists with two nodes or more."""
-    got = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-    if not got:
-        return
-    token, node, size = (np.concatenate(x) for x in zip(*got))
-    # sizes that can link lie in the same or in neighbouring bands; each node stands in its band and the next
-    band = np.floor(np.log(size) / (math.log(den / num) + 1e-9)).astype(np.int64)
-    token, node, band = np.tile(token, 2), np.tile(node, 2), np.concatenate([band, band + 1])
-    by = np.lexsort((node, band, token))
-    token, node, band = token[by], node[by], band[by]
-    new = np.concatenate([[True], (np.diff(token) != 0) | (np.diff(band) != 0)])
-    pivot = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    keep = pivot != node
-    pairs = np.unique(np.stack([pivot[keep], node[keep]], 1), axis=0)
-    for a in range(0, len(pairs), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 100_000, 0]), pa.array(pairs[a : a + 100_000, 1])], names=["pivot", "node"])
-
-
 def divide_skip(lists: list[np.ndarray], least: int, mu: float = 0.0085) -> tuple[np.ndarray, np.ndarray]:
     """(members, counts) of what is in at least ``least`` of the sorted lists.
 
@@ -188,101 +140,133 @@ def divide_skip(lists: list[np.ndarray], least: int, mu: float = 0.0085) -> tupl
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     long = min(least - 1, int(least / (mu * math.log2(len(lists[-1]) + 1) + 1)))
     short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
-    # merging by a sort of all short lists; a heap does the same in interpreted code
-    merged = np.sort(np.concatenate(short), kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-    counts = np.diff(np.append(first, len(merged)))
+    n = sum(map(len, short))
+    if n <= HEAP:
+        merged = np.fromiter(heapq.merge(*(x.tolist() for x in short)), np.int64, n)
+    else:  # the same merge of sorted runs, compiled
+        merged = np.sort(np.concatenate(short), kind="stable")
+    first = np.flatnonzero(np.diff(merged, prepend=-1))
+    counts = np.diff(np.append(first, n))
     ok = counts >= least - long
     members, counts = merged[first[ok]], counts[ok]
-    for i, x in enumerate(probed):
-        if not len(members):
-            break
-        at = np.minimum(np.searchsorted(x, members), len(x) - 1)
-        counts = counts + (x[at] == members)
-        ok = counts >= least - (len(probed) - 1 - i)
+    done = 0
+    while done < len(probed) and len(members):
+        slab = probed[done : done + SLAB]
+        if sum(map(len, slab)) <= HEAP:  # one binary search in all of them
+            base = np.arange(len(slab)) * (int(max(x[-1] for x in probed)) + 1)
+            keys = np.concatenate([x + b for x, b in zip(slab, base.tolist())])
+            wanted = (base[:, None] + members).ravel()
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            counts = counts + (keys[at] == wanted).reshape(len(slab), -1).sum(0)
+        else:
+            slab = slab[:1]
+            at = np.minimum(np.searchsorted(slab[0], members), len(slab[0]) - 1)
+            counts = counts + (slab[0][at] == members)
+        done += len(slab)
+        ok = counts >= least - (len(probed) - done)
         members, counts = members[ok], counts[ok]
     return members, counts
 
 
-def block_links(pivot: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, num: int, den: int, crossed: bool = False) -> list[tuple[int, int]]:
-    """Links that join all linked sets of a block: pairs of positions, the pivot being -1.
-
-    groups: 0 or 1 for each set; with crossed, only pairs of different groups are wanted (the pivot links with both)."""
-    n = np.array([len(s) for s in sets], np.int64)
-    lacks, adds = [], []
-    for s in sets:
-        shared = np.isin(pivot, s, assume_unique=True)
-        lacks.append(pivot[~shared])
-        adds.append(s[~np.isin(s, pivot, assume_unique=True)])
-    lack = np.array([len(x) for x in lacks], np.int64)
-    root = list(range(len(sets) + 1))  # the last one is the pivot
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links = []
-    linked = den * (len(pivot) - lack) >= num * (len(pivot) + n - (len(pivot) - lack))
-    for i in np.flatnonzero(linked).tolist():
-        root[i] = len(sets)
-        links.append((-1, i))
-    rest = np.flatnonzero(~linked)
-    if not len(rest):
-        return links
-    # inverted lists over differences; what is lacked and what is added have no shingle in common
-    elements = np.concatenate([x for pair in zip(lacks, adds) for x in pair])
-    owner = np.repeat(np.arange(len(sets)), [len(a) + len(b) for a, b in zip(lacks, adds)])
-    by = np.argsort(elements, kind="stable")
-    elements, owner = elements[by], owner[by]
-    for i in rest.tolist():
-        own = np.concatenate([lacks[i], adds[i]])
-        needed = -(-num * (n + n[i]) // (num + den)) - len(pivot) + lack + lack[i]
-        size_ok = (den * n >= num * n[i]) & (den * n[i] >= num * n)
-        if crossed:
-            size_ok &= groups != groups[i]
-        size_ok[i] = False
+class Block:
+    """The inverted lists of a pivot's shingles and of the differences from it, over the sets of a block."""
+
+    def __init__(self, pivot: np.ndarray, sets: list[np.ndarray], num: int, den: int):
+        self.pivot, self.num, self.den = pivot, num, den
+        self.n = np.array([len(s) for s in sets], np.int64)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        at, hit = self._in_pivot(every)
+        self.has = np.zeros((len(pivot), len(sets)), bool)
+        self.has[at[hit], owner[hit]] = True
+        self.lack = len(pivot) - self.has.sum(0)
+        element, lacker = np.nonzero(~self.has)
+        elements, owners = np.concatenate([pivot[element], every[~hit]]), np.concatenate([lacker, owner[~hit]])
+        by = np.lexsort((owners, elements))  # what is lacked and what is added have no shingle in common
+        self.elements, self.owners = elements[by], owners[by]
+
+    def _in_pivot(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.pivot, x), len(self.pivot) - 1)
+        return at, self.pivot[at] == x
+
+    def of_pivot(self) -> np.ndarray:
+        """Members that link with the pivot."""
+        needed = self._needed(len(self.pivot))
+        members, counts = divide_skip([np.flatnonzero(x) for x in self.has], max(1, int(needed.min())))
+        return members[counts >= needed[members]]
+
+    def _needed(self, size: int) -> np.ndarray:
+        return -(-self.num * (self.n + size) // (self.num + self.den))
+
+    def of(self, query: np.ndarray) -> np.ndarray:
+        """Members that link with a set that the pivot doesn't link with; the set itself, if it is one, among them."""
+        at, hit = self._in_pivot(query)
+        lacks = np.ones(len(self.pivot), bool)
+        lacks[at[hit]] = False
+        own = np.concatenate([self.pivot[lacks], query[~hit]])
+        needed = self._needed(len(query)) - len(self.pivot) + self.lack + int(lacks.sum())
+        size_ok = (self.den * self.n >= self.num * len(query)) & (self.den * len(query) >= self.num * self.n)
         if not size_ok.any():
-            continue
+            return np.zeros(0, np.int64)
         least = max(1, int(needed[size_ok].min()))
-        lo, hi = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
-        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]  # lists that hold others too
-        if len(lo) < least:
-            continue
-        members, counts = divide_skip([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist())], least)
-        for j in members[(counts >= needed[members]) & size_ok[members]].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[a] = b
-                links.append((i, j))
-    return links
+        lo, hi = np.searchsorted(self.elements, own, "left"), np.searchsorted(self.elements, own, "right")
+        members, counts = divide_skip([self.owners[a:b] for a, b in zip(lo.tolist(), hi.tolist())], least)
+        return members[(counts >= needed[members]) & size_ok[members]]
+
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, list, list]]:
+    """((pivot, i, j), its set, (node, set) of the queries, those of the members) of rows in order, the pivot's row first.
 
-def _search(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Links of blocks whose rows follow each other, the pivot's first: (pivot, i, j, side, node, set)."""
-    key, rows, out = None, [], []
+    Further sets of the pivot's node are members."""
+    key, rows = None, []
 
-    def links() -> list[tuple[int, int]]:
-        (_, _, pivot), *own = rows
-        found = block_links(pivot, [x for *_, x in own], np.array([s for s, *_ in own]), num, den, key[1] != key[2])
-        return [(key[0] if a < 0 else own[a][1], own[b][1]) for a, b in found]
+    def block():
+        return key, rows[0][2], [r[1:] for r in rows if r[0] == 0], [r[1:] for r in rows[1:] if r[0] != 0]
 
     for batch in batches:
         for part in rows_of(batch, 256):
             for pivot, i, j, side, node, packed in zip(*(c.to_pylist() for c in part.columns)):
                 if (pivot, i, j) != key:
                     if rows:
-                        out += links()
+                        yield block()
                     key, rows = (pivot, i, j), []
                 rows.append((side, node, np.frombuffer(packed, np.uint64)))
-        if len(out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-            out = []
     if rows:
-        out += links()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        yield block()
+
+
+def _search(batches: Iterator[pa.RecordBatch], num: int, den: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, pivot): links of the pivot of each block with its members, and, with single, of the others with all members; else
+    those are given back with a null b.  Blocks with queries of their own have those searched instead of the pivot."""
+    a, b, of = [], [], []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, of)], names=["a", "b", "pivot"])
+
+    for (pivot, _, _), head, queries, members in _blocks(batches):
+        if not members:  # no node of the block fell into this chunk
+            continue
+        block, nodes = Block(head, [s for _, s in members], num, den), [n for n, _ in members]
+        if not queries:
+            linked = block.of_pivot().tolist()
+            a += [pivot] * len(linked)
+            b += [nodes[i] for i in linked]
+            rest = sorted(set(range(len(nodes))).difference(linked))
+            queries = [members[i] for i in rest] if single else []
+            if not single:
+                a += [nodes[i] for i in rest]
+                b += [None] * len(rest)
+        for node, query in queries:
+            found = [nodes[i] for i in block.of(query).tolist() if nodes[i] != node]
+            a += [node] * len(found)
+            b += found
+            if len(a) > 50_000:
+                of += [pivot] * (len(a) - len(of))
+                yield out()
+                a, b, of = [], [], []
+        of += [pivot] * (len(a) - len(of))
+    if a:
+        yield out()
+    trim()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -291,7 +275,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x, k).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["node", "set"])
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_rows: int = 16_384) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, part_bytes: int = 256 << 10, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     rows = texts(docs)
@@ -303,35 +287,64 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, c
     order = spark.sparkContext.broadcast(counted)
     profile = profile.filter("chunk is null").select("doc_id", "n", "d1", "d2")
     classes = written(profile.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "jaccard-classes")
-    copies = written(profile.filter("n > 0").join(classes.filter("last > node"), ["d1", "d2"]).filter("doc_id > node").select("doc_id").distinct(), "jaccard-copies")
-    nodes = rows.join(sized(copies), "doc_id", "left_anti")  # the text of one document of each class
+    copies = written(profile.filter("n > 0").join(classes.filter("last > node"), ["d1", "d2"]).filter("doc_id > node").select("doc_id").distinct().join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_anti"), "jaccard-copies")
+    nodes = rows.join(sized(copies), "doc_id", "left_anti")  # the texts of one document of each class
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = nodes.mapInArrow(lambda b: _postings(b, order, k, num, den, parts), "part long, token binary, node binary, size binary")
-    shared = written(postings.repartition(parts, "part").mapInArrow(lambda b: _shared(b, num, den), "token long, node long, size long"), "jaccard-shared")
+    postings = written(nodes.mapInArrow(lambda b: _postings(b, order, k, num, den), "token long, node long, size int"), "jaccard-postings")
+    lists = postings.groupBy("token").agg(F.count("*").alias("in_list")).filter("in_list > 1").select("token")
+    shared = written(postings.join(lists, "token"), "jaccard-shared")
+    discard(postings)
     # a partner can be smaller, down to num/den of the size, and so share fewer
     least = 1 + F.floor(F.ceil(F.lit(num) * F.max("size") / F.lit(den)) / 16)
     linkable = written(shared.groupBy("node").agg(F.count("*").alias("n"), least.alias("least")).filter("n >= least").select("node"), "jaccard-linkable")
-    left = shared.join(sized(linkable), "node", "left_semi").select("token", "node", "size").repartition(parts, "token")
-    pairs = written(left.mapInArrow(lambda b: _blocks(b, num, den), "pivot long, node long").distinct(), "jaccard-blocks")
-
-    # the pivot belongs to its block; blocks of more rows than a task should hold are cut into chunks, and all pairs of chunks are searched
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    large = written(sizes.filter("chunks > 1"), "jaccard-large")
-    placed = pairs.join(sized(large), "pivot", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = placed.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node")
-    heads = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("chunks") - 1)))
-    members = members.unionByName(heads.select("pivot", "i", "j", F.lit(-1).alias("side"), F.col("pivot").alias("node")))
-    members = written(members, "jaccard-members")
-
-    wanted = written(members.select(F.col("node").alias("doc_id")).distinct(), "jaccard-wanted")
-    sets = nodes.join(sized(wanted), "doc_id", "left_semi").mapInArrow(lambda b: _sets(b, k), "node long, set binary")
-    block = members.join(sets, "node").select("pivot", "i", "j", "side", "node", "set").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "side", "node")
-    edges = block.mapInArrow(lambda b: _search(b, num, den), "a long, b long")
-    group = components(edges, "jaccard-links")
-    discard(copies, shared, linkable, pairs, large, members, wanted)
+    # sizes that can link lie in the same or in neighbouring bands; each node stands in its band and the next
+    band = F.floor(F.log("size") / F.lit(math.log(den / num) + 1e-9))
+    banded = shared.join(sized(linkable), "node", "left_semi").select("token", "node", "size", F.explode(F.array(band, band + 1)).alias("band"))
+    pivots = banded.groupBy("token", "band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("last > pivot").select("token", "band", "pivot")
+    pairs = written(banded.join(pivots, ["token", "band"]).filter("node <> pivot").select("pivot", "node", "size").distinct(), "jaccard-blocks")
+    discard(shared)
+
+    # the pivot belongs to its block; a block of more than part_bytes is cut into chunks
+    n_bytes = F.sum(8 * F.col("size").cast("long"))
+    count = lambda bytes_: F.ceil(n_bytes / bytes_).cast("int")
+    sizes = written(pairs.groupBy("pivot").agg(count(part_bytes).alias("chunks"), F.least(count(part_bytes), F.greatest(F.lit(64), count(block_bytes))).alias("wide")), "jaccard-sizes")
+    large = sizes.filter("chunks > 1")
+    member = lambda placed, side: placed.select("pivot", "i", "j", F.lit(side).alias("side"), "node")
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    placed = pairs.join(sized(large), "pivot", "left").withColumn("j", F.when(F.col("chunks") > 1, chunk("chunks")).otherwise(-1)).withColumn("i", F.lit(-1))
+    heads = sizes.withColumn("j", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(-1))))).withColumn("i", F.lit(-1)).withColumn("node", F.col("pivot"))
+    first = written(member(placed, 1).unionByName(member(heads, -1)), "jaccard-members")
+    wanted = written(first.select(F.col("node").alias("doc_id")).distinct(), "jaccard-wanted")
+    sets = written(nodes.join(sized(wanted), "doc_id", "left_semi").mapInArrow(lambda b: _sets(b, k), "node long, set binary"), "jaccard-sets")
+
+    def searched(members: DataFrame, single: bool) -> DataFrame:
+        block = members.join(sets, "node").select("pivot", "i", "j", "side", "node", "set").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "side", "node")
+        return block.mapInArrow(lambda b: _search(b, num, den, single), "a long, b long, pivot long")
+
+    edges = [written(searched(first.filter("j < 0"), True), "jaccard-edges")]
+    if not large.isEmpty():
+        edges.append(written(searched(first.filter("j >= 0"), False), "jaccard-edges"))
+        # what the pivot of a large block doesn't link with is searched against all of the block, chunk by chunk on both sides: up to 64
+        # chunks of each for parallel work, more only where they would exceed block_bytes
+        nodes_of = pairs.join(sized(large), "pivot").unionByName(large.select("pivot", F.col("pivot").alias("node"), F.lit(0).alias("size"), "chunks", "wide"))
+        rest = nodes_of.join(edges[1].filter("b is null").select("pivot", F.col("a").alias("node")).distinct(), ["pivot", "node"])
+        rest = written(rest.select("pivot", "node", "size", "wide"), "jaccard-rest")
+        some = written(rest.groupBy("pivot").agg(F.max("wide").alias("wide"), F.greatest(F.lit(1), F.least(count(part_bytes), F.greatest(F.lit(64), count(block_bytes)))).alias("asked")), "jaccard-asked")
+        both = lambda df: df.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+        asking = both(rest.join(sized(some.select("pivot", "asked")), "pivot").withColumn("i", chunk("asked")))
+        asked = pairs.join(sized(some), "pivot").withColumn("j", chunk("wide")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
+        heads = both(some.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))).withColumn("node", F.col("pivot"))
+        second = written(member(asking, 0).unionByName(member(asked, 1)).unionByName(member(heads, -1)), "jaccard-members")
+        edges.append(written(searched(second, False), "jaccard-edges"))
+        discard(rest, some, second)
+    links = edges[0]
+    for more in edges[1:]:
+        links = links.unionByName(more)
+    group = components(links.filter("b is not null").select("a", "b"), "jaccard-links")
+    discard(copies, linkable, pairs, sizes, first, wanted, sets, *edges)
 
     named = classes.join(group, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    grouped = profile.join(named, ["d1", "d2"], "left")
-    return grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = profile.filter("n > 0").join(named, ["d1", "d2"])
+    none = profile.filter("n = 0").withColumn("component_id", F.col("doc_id"))  # no keys to join them by
+    out = lambda df: df.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out(grouped).unionByName(out(none))
