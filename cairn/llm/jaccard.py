@@ -307,7 +307,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, p
     # the pivot belongs to its block; a block of more than part_bytes is cut into chunks
     n_bytes = F.sum(8 * F.col("size").cast("long"))
     count = lambda bytes_: F.ceil(n_bytes / bytes_).cast("int")
-    sizes = written(pairs.groupBy("pivot").agg(count(part_bytes).alias("chunks"), F.least(count(part_bytes), F.greatest(F.lit(64), count(block_bytes))).alias("wide")), "jaccard-sizes")
+    sizes = written(pairs.groupBy("pivot").agg(count(part_bytes).alias("chunks"), F.least(count(part_bytes), F.greatest(F.lit(8), count(block_bytes))).alias("wide")), "jaccard-sizes")
     large = sizes.filter("chunks > 1")
     member = lambda placed, side: placed.select("pivot", "i", "j", F.lit(side).alias("side"), "node")
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -324,12 +324,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, p
     edges = [written(searched(first.filter("j < 0"), True), "jaccard-edges")]
     if not large.isEmpty():
         edges.append(written(searched(first.filter("j >= 0"), False), "jaccard-edges"))
-        # what the pivot of a large block doesn't link with is searched against all of the block, chunk by chunk on both sides: up to 64
+        # what the pivot of a large block doesn't link with is searched against all of the block, chunk by chunk on both sides: up to 8
         # chunks of each for parallel work, more only where they would exceed block_bytes
         nodes_of = pairs.join(sized(large), "pivot").unionByName(large.select("pivot", F.col("pivot").alias("node"), F.lit(0).alias("size"), "chunks", "wide"))
         rest = nodes_of.join(edges[1].filter("b is null").select("pivot", F.col("a").alias("node")).distinct(), ["pivot", "node"])
         rest = written(rest.select("pivot", "node", "size", "wide"), "jaccard-rest")
-        some = written(rest.groupBy("pivot").agg(F.max("wide").alias("wide"), F.greatest(F.lit(1), F.least(count(part_bytes), F.greatest(F.lit(64), count(block_bytes)))).alias("asked")), "jaccard-asked")
+        some = written(rest.groupBy("pivot").agg(F.max("wide").alias("wide"), F.greatest(F.lit(1), F.least(count(part_bytes), F.greatest(F.lit(8), count(block_bytes)))).alias("asked")), "jaccard-asked")
         both = lambda df: df.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
         asking = both(rest.join(sized(some.select("pivot", "asked")), "pivot").withColumn("i", chunk("asked")))
         asked = pairs.join(sized(some), "pivot").withColumn("j", chunk("wide")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
