@@ -6,6 +6,7 @@ per partition is all that ever meets in one place."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,3 +30,18 @@ def running(df: DataFrame, order: Sequence[Column], amount: Column, name: str, p
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
     """df with the row number, from 1, in a total order."""
     return running(df, order, F.lit(1), name).withColumn(name, (F.col(name) + 1).cast("long"))
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """df with ``name``: the row's number, from 0, in the order of its group.  No group needs to fit one task: of a group that lies
+    in several range partitions, each partition after the first gets an offset, so there are at most as many as partitions."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # settled: both uses below must see the same partitions
+    dealt = settled(df.repartitionByRange(n, *group, *order).withColumn("_rs_part", F.spark_partition_id()))
+    local = dealt.withColumn("_rs_own", F.row_number().over(Window.partitionBy("_rs_part", *group).orderBy(*order)) - 1)
+    totals = dealt.groupBy(*(F.col(g).alias(f"_rs_{i}") for i, g in enumerate(group)), F.col("_rs_part").alias("_rs_in")).agg(F.count("*").alias("_rs_total"))
+    before = Window.partitionBy(*(f"_rs_{i}" for i in range(len(group)))).orderBy("_rs_in").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_rs_before", F.sum("_rs_total").over(before)).filter("_rs_before is not null").drop("_rs_total")
+    same = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"_rs_{i}")) for i, g in enumerate(group)), F.col("_rs_part") == F.col("_rs_in"))
+    out = local.join(F.broadcast(offsets), same, "left").withColumn(name, F.coalesce("_rs_before", F.lit(0)) + F.col("_rs_own"))
+    return out.select(*df.columns, name)

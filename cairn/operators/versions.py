@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.prefix import numbered
 from cairn.plans.errors import CairnError
 
 GLOBAL_BYTES = 10
@@ -37,6 +38,12 @@ def with_local_versions(df: DataFrame, commit: Sequence[str], order: Sequence[st
     return df.withColumn(name, n).withColumn(name, fits.cast("int"))
 
 
+def with_commits(df: DataFrame, within: Sequence[str], order: Sequence[str], name: str = "commit") -> DataFrame:
+    """Deals each group's records, in order, to commits 0, 1, ... that hold as many records as local versions tell apart."""
+    rows = numbered(df, within, [F.col(c).asc_nulls_last() for c in order], name)
+    return rows.withColumn(name, F.floor(F.col(name) / (MOST_LOCAL + 1)).cast("int"))
+
+
 class RecordContext:
     """What one commit knows: its local versions, its incarnation, its age."""
 

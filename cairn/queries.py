@@ -16,7 +16,7 @@ from cairn.operators.prefix import ranked
 from cairn.operators.ranges import KeyRange, TupleRange, exclusive, inclusive
 from cairn.operators.record_scan import RecordPage, RecordScan
 from cairn.operators.scan import Page, Scan
-from cairn.operators.versions import version, with_local_versions
+from cairn.operators.versions import MOST_LOCAL, version, with_commits, with_local_versions
 from cairn.plans import descriptor as D
 from cairn.plans.token import Continuation
 
@@ -412,9 +412,12 @@ def index_covering(spark, sf_dir):
 
 @query("SELECT CASE WHEN event_id % 2 = 0 THEN 7 END AS v_incarnation, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) - 1 AS INTEGER) AS v_local, event_id FROM events")
 def index_versionstamp(spark, sf_dir):
-    rows = with_local_versions(_t(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day")), ["day"], ["event_id"])
+    """A day of more events than one commit can number is several commits; the number returned counts on through the day's commits."""
+    rows = with_commits(_t(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day")), ["day"], ["event_id"])
+    rows = with_local_versions(rows, ["day", "commit"], ["event_id"])
     stamp = F.struct(F.when(F.col("event_id") % 2 == 0, F.lit(7)).alias("incarnation_version"), F.col("local_version").alias("local_version"))
-    return Index("v", (Element("v", "versionstamp", stamp),)).entries(rows, ["event_id"])
+    entries = Index("v", (Element("v", "versionstamp", stamp),)).entries(rows, ["event_id", "commit"])
+    return entries.select("v_incarnation", (F.col("commit") * (MOST_LOCAL + 1) + F.col("v_local")).alias("v_local"), "event_id")
 
 
 @query("SELECT unnest(string_split(p_name, ' ')) AS word, p_partkey FROM part")

@@ -59,3 +59,15 @@ def test_entry(spark, data):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_busy_days(spark, tmp_path):
+    """More events in a day than a commit has local versions."""
+    n = 70_000
+    day = ["2024-01-02"] * (n - 5) + ["2024-01-01"] * 3 + [None] * 2
+    pd.DataFrame({"event_id": [n - i for i in range(n)], "ts": pd.to_datetime(day).astype("datetime64[us]")}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(SQL["index_versionstamp"]).df()
+    assert want["v_local"].max() == n - 6
+    assert rows(QUERIES["index_versionstamp"](spark, str(tmp_path)).toPandas()) == rows(want)

@@ -10,7 +10,7 @@ from cairn.operators import split as S
 from cairn.operators.keys import Element, Index, Registry, primary_key
 from cairn.operators.limits import ScanLimiter, StopReason
 from cairn.operators.record_scan import RecordScan
-from cairn.operators.versions import RecordContext, completed, version, with_local_versions
+from cairn.operators.versions import RecordContext, completed, version, with_commits, with_local_versions
 from cairn.plans import descriptor as D
 from cairn.plans import schema as P
 from cairn.plans.errors import CairnError
@@ -315,3 +315,17 @@ def test_age_overflow(monkeypatch):
     context._began = -float(1 << 61)
     with pytest.raises(CairnError, match="221"):
         context.age_milliseconds()
+
+
+def test_commits(spark):
+    """Groups go to commits that a commit's numbers suffice for, in order, wherever the range partitions end; NULL is a group."""
+    df = spark.range(131_071).selectExpr("130000 - id as k", "case when id < 2 then null else id >= 131069 end as g")
+    rows = with_local_versions(with_commits(df, ["g"], ["k"]), ["g", "commit"], ["k"])
+    got = {(r["g"], r["commit"]): r[2:] for r in rows.groupBy("g", "commit").agg(F.min("k"), F.max("k"), F.max("local_version"), F.count("*")).collect()}
+    assert got == {
+        (None, 0): (129_999, 130_000, 1, 2),
+        (False, 0): (-1_068, 64_466, 65_534, 65_535),
+        (False, 1): (64_467, 129_998, 65_531, 65_532),
+        (True, 0): (-1_070, -1_069, 1, 2),
+    }
+    assert rows.filter("g = false and k + 1068 <> commit * 65535 + local_version").isEmpty()
