@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.shared import components, discard, rows_of, sized, texts, trim, written
 
-CELLS_BITS, CELL_CHUNKS = 22, 64
+CELLS_BITS, CELL_CHUNKS, TOKEN_BITS = 22, 64, 40
 HEAP, SLAB = 1 << 13, 64  # entries of lists that the interpreted heap merges, or that are probed together; lists probed together
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -61,6 +62,16 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(x ^ (x >> np.uint64(29)))
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Counts of one task, most of them small: bytes where these suffice, compressed."""
+    return zlib.compress((cells.astype(np.uint8) if cells.max() < 256 else cells).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, np.uint8 if len(raw) == (1 << CELLS_BITS) // CELL_CHUNKS else np.uint32)
+
+
 def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, d1, d2) of each text, and at the end of a task the rows (chunk, cells) of its counts."""
     cells = np.zeros(1 << CELLS_BITS, np.uint32)
@@ -85,7 +96,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=schema)
     if some:
         for i, x in enumerate(np.split(cells, CELL_CHUNKS)):
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([x.tobytes()])], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([_packed(x)])], schema=schema)
 
 
 def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +104,7 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(cells, np.uint32)
-            sums[chunk] = sums.get(chunk, 0) + x.astype(np.uint64)
+            sums[chunk] = sums.get(chunk, 0) + _unpacked(cells).astype(np.uint64)
     for chunk, x in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(255, np.log2(x + np.float64(1)) * 8).astype(np.uint8).tobytes()])], names=["chunk", "cells"])
 
@@ -109,9 +119,10 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(token, node, size) of the prefixes."""
+    """(token, node, size) of the prefixes.  A token is the first bits of a shingle's hash: shingles that share one by chance
+    only add nodes to compare."""
     cells = order.value
-    shift = np.uint64(64 - CELLS_BITS)
+    shift, cut = np.uint64(64 - CELLS_BITS), np.uint64(64 - TOKEN_BITS)
     for batch in batches:
         for part in rows_of(batch, 256):
             tokens, nodes, sizes = [], [], []
@@ -126,7 +137,7 @@ def _postings(batches: Iterator[pa.RecordBatch], order, k: int, num: int, den: i
                 sizes.append(len(s))
             if tokens:
                 n = [len(x) for x in tokens]
-                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(nodes, np.int64), n), np.repeat(np.array(sizes, np.int32), n)]
+                columns = [(np.concatenate(tokens) >> cut).astype(np.int64), np.repeat(np.array(nodes, np.int64), n), np.repeat(np.array(sizes, np.int32), n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size"])
     trim()
 
@@ -290,7 +301,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, p
     copies = written(profile.filter("n > 0").join(classes.filter("last > node"), ["d1", "d2"]).filter("doc_id > node").select("doc_id").distinct().join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_anti"), "jaccard-copies")
     nodes = rows.join(sized(copies), "doc_id", "left_anti")  # the texts of one document of each class
 
-    postings = written(nodes.mapInArrow(lambda b: _postings(b, order, k, num, den), "token long, node long, size int"), "jaccard-postings")
+    postings = written(nodes.mapInArrow(lambda b: _postings(b, order, k, num, den), "token long, node long, size int"), "jaccard-postings", "zstd")
     lists = postings.groupBy("token").agg(F.count("*").alias("in_list")).filter("in_list > 1").select("token")
     shared = written(postings.join(lists, "token"), "jaccard-shared")
     discard(postings)
@@ -318,7 +329,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, p
     sets = written(nodes.join(sized(wanted), "doc_id", "left_semi").mapInArrow(lambda b: _sets(b, k), "node long, set binary"), "jaccard-sets")
 
     def searched(members: DataFrame, single: bool) -> DataFrame:
-        block = members.join(sets, "node").select("pivot", "i", "j", "side", "node", "set").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "side", "node")
+        # few members go to the sets, so that these shuffle once, by block
+        block = sets.join(sized(members, 500_000), "node").select("pivot", "i", "j", "side", "node", "set").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "side", "node")
         return block.mapInArrow(lambda b: _search(b, num, den, single), "a long, b long, pivot long")
 
     edges = [written(searched(first.filter("j < 0"), True), "jaccard-edges")]
